@@ -1,0 +1,6 @@
+"""Deliberately empty: every workload this library covers is a monthly batch load.
+
+Late *reporting* exists, but it is resolved on whole history by
+``creditloom.operators.asof.rebuild_as_of``; incremental loads go through
+``creditloom.sources.panels.ingest_with_warmup``.
+"""
