@@ -165,13 +165,15 @@ def min_distance(
     """
     points = sites.select(lat, lon).dropna().distinct()
     blocks = max(1, -(-points.count() // SITE_BLOCK))
-    nearest = []
+    out, nearest = units, []
     for block in range(blocks):
         part = points.where(F.pmod(F.hash(lat, lon), F.lit(blocks)) == block)
         packed = part.agg(F.collect_list(F.struct(lat, lon)).alias("points")).scalar()
+        out = out.withColumn(f"__sites_{block}", packed)
         per_site = F.transform(
-            packed, lambda s: distance(F.col(lat), F.col(lon), s.getField(lat), s.getField(lon))
+            f"__sites_{block}",
+            lambda s: distance(F.col(lat), F.col(lon), s.getField(lat), s.getField(lon)),
         )
         nearest.append(F.array_min(per_site))
     shortest = F.least(*nearest) if blocks > 1 else nearest[0]
-    return units.withColumn(name, shortest)
+    return out.withColumn(name, shortest).drop(*[f"__sites_{b}" for b in range(blocks)])

@@ -78,9 +78,11 @@ class PanelMeasures:
         self._final[name] = credit.ratio(total, count)
 
     def apply(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        per_consumer = df.groupBy(*keys, self.consumer).agg(
-            *[column.alias(name) for name, column in self._rows.items()]
-        )
+        partials = [column.alias(name) for name, column in self._rows.items()]
+        if partials:
+            per_consumer = df.groupBy(*keys, self.consumer).agg(*partials)
+        else:
+            per_consumer = df.select(*keys, self.consumer).distinct()
         return per_consumer.groupBy(*keys).agg(
             *[column.alias(name) for name, column in self._final.items()]
         )

@@ -166,7 +166,7 @@ SELECT tu_consumer_id, run_date, fsa, treated, CAST(CASE WHEN treated = 1 THEN t
   a % 70 AS ml_bal_def_ins, a % 9 AS ml_chargoff_new_ins,
   a % 50000 AS heloc_bal, a % 600 AS heloc_bal_arr, a % 60 AS heloc_bal_def, a % 6 AS heloc_chargoff_new,
   a % 4000 AS bc_bal, a % 400 AS bc_bal_arr, a % 40 AS bc_bal_def, a % 4 AS bc_chargoff_new,
-  CASE WHEN a % 7 = 0 THEN 0 ELSE 5000 END AS bc_lmt,
+  CASE WHEN a % 7 = 0 THEN 0 ELSE 4999 END AS bc_lmt,
   a % 3000 AS other_bal, a % 300 AS other_bal_arr, a % 30 AS other_bal_def, a % 3 AS other_chargoff_new
 FROM (
   SELECT tu_consumer_id, run_date, fsa, cvsc100, CAST(round(ml_bal) AS BIGINT) AS a, CAST(round(ml_bal_arr) AS BIGINT) AS b,
