@@ -75,6 +75,31 @@ def outcomes(
     )
 
 
+def complete_units(
+    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id"
+) -> DataFrame:
+    """(variant, unit) of units observed in every period and predictor of their variant.
+
+    One unit with a hole would make every fit fail that has it as a donor.
+    """
+    seen = (
+        outcome_rows.groupBy(VARIANT, unit)
+        .agg(F.count("y").alias("__ny"))
+        .join(predictor_rows.groupBy(VARIANT, unit).agg(F.count("value").alias("__nx")), [VARIANT, unit])
+    )
+    # A period or predictor exists in a variant once any of its units has it.
+    full = (
+        outcome_rows.groupBy(VARIANT)
+        .agg(F.countDistinct("run_date").alias("__fy"))
+        .join(predictor_rows.groupBy(VARIANT).agg(F.countDistinct("predictor").alias("__fx")), VARIANT)
+    )
+    return (
+        seen.join(full, VARIANT)
+        .where((F.col("__ny") == F.col("__fy")) & (F.col("__nx") == F.col("__fx")))
+        .select(VARIANT, unit)
+    )
+
+
 def placebo_jobs(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """One fit per unit, each with all other units as donors: (variant, job, unit, is_treated)."""
     jobs = units.select(VARIANT, F.col(unit).alias("job"))
@@ -159,12 +184,22 @@ def fit(
         pdf = pdf.sort_values([unit])
         head = {"variant": pdf[VARIANT].iloc[0], "job": pdf["job"].iloc[0]}
         result = simplex.fit_group(pdf, unit, nested)
-        return pd.DataFrame([{**head, **row} for row in result], columns=list(COLUMNS))
+        return _frame([{**head, **row} for row in result], COLUMNS)
 
     return rows.groupBy(VARIANT, "job").applyInPandas(solve, FIT_SCHEMA)
 
 
 COLUMNS = ("variant", "job", "kind", "donor", "predictor", "weight", "loss")
+CONF_COLUMNS = ("variant", "lower", "upper", "status")
+
+
+def _frame(rows: list[dict], columns: Sequence[str]) -> pd.DataFrame:
+    """Rows as a frame whose missing cells are None, so that text and ids stay typed by the schema."""
+    cells = {c: [row.get(c) for row in rows] for c in columns}
+    numeric = {"weight", "loss", "lower", "upper"}
+    return pd.DataFrame(
+        {c: pd.Series(v, dtype="float64" if c in numeric else "object") for c, v in cells.items()}
+    )
 
 
 def donor_weights(fitted: DataFrame) -> DataFrame:
@@ -345,9 +380,8 @@ def conf_set(
         lower, upper, status = simplex.invert_test(
             pdf, (pdf[unit] == treated).to_numpy(), family, precision, phi, significance
         )
-        return pd.DataFrame(
-            [{"variant": pdf[VARIANT].iloc[0], "lower": lower, "upper": upper, "status": status}]
-        )
+        bounds = {"lower": lower, "upper": upper, "status": status}
+        return _frame([{"variant": pdf[VARIANT].iloc[0], **bounds}], CONF_COLUMNS)
 
     return rows.groupBy(VARIANT).applyInPandas(search, CONF_SCHEMA)
 

@@ -113,7 +113,7 @@ def placebo_study(
     """
     x = synthetic.predictors(rows, spec)
     y = synthetic.outcomes(rows, spec)
-    units = rows.select(VARIANT, "unit_id").distinct()
+    units = synthetic.complete_units(x, y)
     packed = synthetic.pack_units(x, y)
     fitted = materialise(
         synthetic.fit(synthetic.placebo_jobs(units), packed, nested=nested, tasks=tasks)
@@ -144,9 +144,9 @@ def leave_one_out(
     tasks: int | None = None,
 ) -> DataFrame:
     """Paths and gaps of the treated unit with each of its donors left out in turn."""
-    y = synthetic.outcomes(rows, spec)
-    packed = synthetic.pack_units(synthetic.predictors(rows, spec), y)
-    units = rows.select(VARIANT, "unit_id").distinct()
+    x, y = synthetic.predictors(rows, spec), synthetic.outcomes(rows, spec)
+    packed = synthetic.pack_units(x, y)
+    units = synthetic.complete_units(x, y)
     jobs = synthetic.leave_one_out_jobs(units, weights, treated)
     fitted = synthetic.fit(jobs, packed, nested=nested, tasks=tasks)
     return synthetic.paths(y, synthetic.donor_weights(fitted))

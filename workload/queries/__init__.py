@@ -1,3 +1,3 @@
 """Importing this package fills the registry."""
 
-from workload.queries import aggregates, joins, panel, pipes, scalars, scans  # noqa: F401
+from workload.queries import aggregates, joins, panel, pipes, scalars, scans, scm  # noqa: F401
