@@ -2,7 +2,7 @@
 
 Skew: every equi join here may meet a key that owns a large part of the rows.  Matching rows
 rely on AQE's skew split (``session.RUNTIME_CONF``), which cuts one hot partition into many
-tasks.  NULL keys never match but still hash to one place, so left joins salt them.
+tasks.  NULL keys never match but still hash to one place; ``spread_nulls`` salts them.
 """
 
 from __future__ import annotations
@@ -26,25 +26,32 @@ def flag_ever(df: DataFrame, key: str, predicate: Column, name: str) -> DataFram
     return left_attach(df, hits, [key]).fillna(0, subset=[name])
 
 
-def left_attach(df: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join that spreads NULL keys over many tasks instead of one.
+def left_attach(
+    df: DataFrame, facts: DataFrame, keys: Sequence[str], spread_nulls: bool = False
+) -> DataFrame:
+    """Left join on equally named keys.
 
-    The salt is a hash of the row, not a random number, so a retried task repeats it.
+    Successive calls on the same keys keep one partitioning, so the left side shuffles once.
+    ``spread_nulls`` is for keys that are often NULL: such rows cannot match but would all hash to
+    one task.  The salt is a hash of the row, not a random number, so a retried task repeats it.
     """
-    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
-    plain = [c for c in df.columns if c not in keys]
-    salted = df.withColumn(
-        "__salt",
-        F.when(missing, F.pmod(F.xxhash64(*plain), F.lit(NULL_SALTS)) + 1).otherwise(0)
-        if plain
-        else F.lit(0),
-    )
-    right = facts.withColumn("__salt", F.lit(0).cast(salted.schema["__salt"].dataType))
-    joined = salted.join(right, [*keys, "__salt"], "left").drop("__salt")
     extra = [c for c in facts.columns if c not in keys]
+    if not spread_nulls:
+        return df.join(facts, list(keys), "left").select(*df.columns, *extra)
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    row_hash = F.pmod(F.xxhash64(*df.columns), F.lit(NULL_SALTS)) + 1
+    salted = df.withColumn("__salt", F.when(missing, row_hash).otherwise(F.lit(0)))
+    right = facts.withColumn("__salt", F.lit(0).cast("long"))
+    joined = salted.join(right, [*keys, "__salt"], "left")
     return joined.select(*df.columns, *extra)
 
 
+def checked_broadcast(lookup: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """Broadcast a lookup after checking its size; a larger one goes through an ordinary join."""
+    small = lookup.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(lookup) if small else lookup
+
+
 def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Attach dimension columns; ``how='inner'`` also drops rows the dimension does not know."""
     return left_attach(df, dimension, on) if how == "left" else df.join(dimension, list(on), how)
@@ -55,7 +62,7 @@ def translate_key(
 ) -> DataFrame:
     """Map a key through the unambiguous part of a lookup table."""
     unique = mapping.where(F.col(repeats) < 2).select(key, target)
-    return left_attach(df, unique, [key])
+    return left_attach(df, checked_broadcast(unique), [key], spread_nulls=True)
 
 
 def join_same_month(

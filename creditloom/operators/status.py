@@ -4,16 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from creditloom.functions.dates import MONTH, Step
 from creditloom.operators.joins import left_attach
 
 
-def _true(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False))
-
-
 def prev_period_status(
     df: DataFrame,
     id_col: str,
@@ -28,25 +24,46 @@ def prev_period_status(
 ) -> DataFrame:
     """Add new_file, terminal and chargoff_new, and drop accounts already paid before.
 
-    The previous period comes from an equi join on (id, period): its key is unique per row, so an
-    account with a very long history is still spread over all tasks, which a window over the
-    account would not do.  Only four columns travel on the lagged side.
+    Every row also announces its state to its next period, and both meet in a window over
+    (id, period).  That reads and shuffles the panel once, where a self join does both twice, and
+    the group is one account in one period, so an account with a very long history still spreads
+    over all tasks.  (id, period) is unique in the input.
     """
     lag = {
-        id_col: F.col(id_col),
-        date: step.shift(F.col(date), 1),
-        "__last_bal": F.col(balance),
-        "__last_chg": F.col(charged),
-        "__last_closed": F.col(closed_flag),
-        "__last_type": F.col(account_type) if account_type else F.lit(None).cast("string"),
-        "__seen": F.lit(True),
+        "__bal": F.col(balance),
+        "__chg": F.col(charged),
+        "__closed": F.col(closed_flag),
+        "__type": F.col(account_type) if account_type else F.lit(None).cast("string"),
     }
-    previous = df.select(*[column.alias(name) for name, column in lag.items()])
-    joined = left_attach(df, previous, [id_col, date])
+    nothing = {name: F.lit(None) for name in lag}
+    now = F.struct(
+        *[F.col(name) for name in df.columns],
+        *[value.alias(name) for name, value in nothing.items()],
+        F.lit(0).alias("__past"),
+    )
+    moved = {id_col: F.col(id_col), date: step.shift(F.col(date), 1)}
+    past = F.struct(
+        *[moved.get(name, F.lit(None)).alias(name) for name in df.columns],
+        *[value.alias(name) for name, value in lag.items()],
+        F.lit(1).alias("__past"),
+    )
+    # A row without an id has no past; its salt keeps such rows from sharing one group.
+    known = F.col(id_col).isNotNull()
+    salt = F.when(known, 0).otherwise(F.xxhash64(*df.columns))
+    told = df.select(
+        salt.alias("__salt"), F.inline(F.when(known, F.array(now, past)).otherwise(F.array(now)))
+    )
+    period = Window.partitionBy(id_col, date, "__salt")
+    joined = told.withColumns(
+        {
+            "__seen": F.max("__past").over(period) == 1,
+            **{f"__last{name[1:]}": F.max(name).over(period) for name in lag},
+        }
+    ).where(F.col("__past") == 0)
 
     bal, chg = F.col(balance), F.col(charged)
     instalment = F.col(account_type).isin("M", "I") if account_type else F.lit(False)
-    first_seen = F.col("__seen").isNull()
+    first_seen = ~F.col("__seen")
     recently_opened = (
         F.col(opened) >= step.shift(F.col(date), -opened_within) if opened else F.lit(False)
     )
@@ -78,7 +95,7 @@ def prev_period_status(
     return out.where(
         (first_seen | ~paid_before)
         & ~((F.col("new_file") == "legacy") & (F.col("terminal") == "PD"))
-    ).drop(*[c for c in lag if c.startswith("__")])
+    ).select(*df.columns, "new_file", "terminal", "chargoff_new")
 
 
 def with_group_size(
@@ -86,4 +103,4 @@ def with_group_size(
 ) -> DataFrame:
     """Number of non-NULL ``counted`` values per group on every row; NULL where a key is NULL."""
     sizes = df.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(counted).alias(name))
-    return left_attach(df, sizes, keys)
+    return left_attach(df, sizes, keys, spread_nulls=True)

@@ -76,7 +76,7 @@ def outcomes(
 
 
 def complete_units(
-    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id"
+    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id", date: str = "run_date"
 ) -> DataFrame:
     """(variant, unit) of units observed in every period and predictor of their variant.
 
@@ -90,7 +90,7 @@ def complete_units(
     # A period or predictor exists in a variant once any of its units has it.
     full = (
         outcome_rows.groupBy(VARIANT)
-        .agg(F.countDistinct("run_date").alias("__fy"))
+        .agg(F.countDistinct(date).alias("__fy"))
         .join(predictor_rows.groupBy(VARIANT).agg(F.countDistinct("predictor").alias("__fx")), VARIANT)
     )
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
 from creditloom.functions import credit, dates, geo
@@ -35,8 +37,12 @@ def consumer_panel(
     damaged: DataFrame,
     mapping: DataFrame,
     study: Study = STUDY,
+    materialise: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Cleaned consumer-month rows of everybody ever seen in the study provinces."""
+    """Cleaned consumer-month rows of everybody ever seen in the study provinces.
+
+    ``materialise`` is applied to the postal lookup, whose size decides how it is joined.
+    """
     c = F.col
     base = clean.sentinel_to_null(
         consumers.withColumn("run_date", dates.ym_to_date(c("run_date"))),
@@ -67,8 +73,8 @@ def consumer_panel(
         flag="treated_ind",
     )
     keyed = joins.translate_key(adjusted, mapping, "encrypted_ldu", "ldu", "n_repeat")
-    valid = joins.enrich(keyed, postal_table(geography, damaged, study), ["fsa", "ldu"], "inner")
-    return valid.drop("ldu")
+    codes = joins.checked_broadcast(materialise(postal_table(geography, damaged, study)))
+    return joins.enrich(keyed, codes, ["fsa", "ldu"], "inner").drop("ldu")
 
 
 def mortgage_history(accounts: DataFrame, study: Study = STUDY) -> DataFrame:

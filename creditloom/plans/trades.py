@@ -97,8 +97,13 @@ def clean_accounts(
     product: str,
     study: Study = STUDY,
     lines: DataFrame | None = None,
+    materialise: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Cleaned account-month rows with status, from one month of context before the start on."""
+    """Cleaned account-month rows with status, from one month of context before the start on.
+
+    ``materialise`` is applied to the rows with status: the group sizes and all later steps read
+    them again.
+    """
     c = F.col
     # One month before the start is read as context for the status and trimmed at the end.
     first = MONTH.shift(F.lit(study.accounts_start), -1)
@@ -121,6 +126,7 @@ def clean_accounts(
         rows, "tu_trade_id", "run_date", "current_balance", "chargoff_refine", "closed_indic",
         "acct_type", "opened_date",
     ).drop("closed_indic", "acct_type", "product_type")
+    rows = materialise(rows)
     rows = status.with_group_size(
         rows, ["run_date", "joint_account_id"], "tu_consumer_id", "n_now"
     )

@@ -63,11 +63,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame that several branches read.
+    """Materialise a frame that several branches read, as a Parquet table in the shared folder.
 
-    A reliable checkpoint survives the loss of executors, unlike cached or local blocks.
+    The table survives the loss of executors, and later scans of it prune columns and push
+    filters down, which a row-wise checkpoint cannot.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    path = scratch_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -30,12 +30,15 @@ FIXTURE = replace(
 
 def consumer_panel(inp):
     return consumers.consumer_panel(
-        inp("bureau_consumer"), inp("bureau_geo"), inp("bureau_damaged"), inp("bureau_mapping"), FIXTURE
+        inp("bureau_consumer"), inp("bureau_geo"), inp("bureau_damaged"), inp("bureau_mapping"), FIXTURE,
+        materialise=cut_lineage,
     )
 
 
 def cleaned(inp, panel, product):
-    return trades.clean_accounts(inp("bureau_account"), panel, product, FIXTURE)
+    return trades.clean_accounts(
+        inp("bureau_account"), panel, product, FIXTURE, materialise=cut_lineage
+    )
 
 
 def adjusted(inp, panel, product, materialise=cut_lineage):
