@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditloom.functions import credit
 
@@ -188,7 +188,24 @@ def eligible_groups(
     )
 
 
+def keep_eligible(
+    panel: DataFrame, group: Sequence[str], count: str, minimum: int, treated: str = "treated"
+) -> DataFrame:
+    """Rows of the eligible groups of a region panel, without computing the panel twice.
+
+    A window group is one region's periods, so it is bounded by the calendar.
+    """
+    per_group = Window.partitionBy(*group)
+    least, always = F.min(count).over(per_group), F.min(treated).over(per_group)
+    return (
+        panel.withColumns({"__least": least, "__treated": always})
+        .where((F.col("__least") >= minimum) | (F.col("__treated") == 1))
+        .drop("__least", "__treated")
+    )
+
+
 def keep_groups(df: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of listed groups; the list is small, the rows may be anything."""
     return df.join(groups, list(keys), "left_semi")
 
 

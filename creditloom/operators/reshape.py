@@ -107,14 +107,18 @@ def with_group_extremes(df: DataFrame, keys: Sequence[str], **extremes: Column)
 def index_to_base(
     df: DataFrame, group: Sequence[str], date: str, base, measures: Sequence[str], suffix: str = "_norm"
 ) -> DataFrame:
-    """Each measure divided by its value at the base date of the group."""
-    at_base = df.where(F.col(date) == F.lit(base)).select(
-        *group, *[F.col(m).alias(f"__base_{m}") for m in measures]
+    """Each measure of a (group, date) panel divided by its value at the group's base date.
+
+    A window group holds one row per date, so it is bounded by the calendar.
+    """
+    per_group = Window.partitionBy(*group)
+
+    def at_base(measure: str) -> Column:
+        return F.max(F.when(F.col(date) == F.lit(base), F.col(measure))).over(per_group)
+
+    return df.withColumns(
+        {f"{m}{suffix}": F.try_divide(F.col(m), at_base(m)) for m in measures}
     )
-    out = left_attach(df, at_base, group)
-    return out.withColumns(
-        {f"{m}{suffix}": F.try_divide(F.col(m), F.col(f"__base_{m}")) for m in measures}
-    ).drop(*[f"__base_{m}" for m in measures])
 
 
 def freq_table(df: DataFrame, *columns: str) -> DataFrame:

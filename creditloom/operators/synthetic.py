@@ -297,11 +297,13 @@ def placebo_pvalue(
 ) -> DataFrame:
     """Probability that a unit drawn with odds exp(phi · v) is at least as extreme as the treated one.
 
-    Average ranks keep the order of the statistics, so comparing the statistics is enough.
+    Average ranks keep the order of the statistics, so comparing the statistics is enough.  A
+    window group holds one statistic per unit.
     """
     odds = F.exp(F.lit(phi) * (F.lit(0) if v is None else v).cast("double"))
-    own = stats.where(F.col(unit) == treated).select(VARIANT, F.col("ts").alias("__own"))
-    rows = stats.join(own, VARIANT).withColumn("__odds", odds)
+    # The treated statistic comes from the same rows, so that it ties with itself to the last bit.
+    own = F.max(F.when(F.col(unit) == treated, F.col("ts"))).over(Window.partitionBy(VARIANT))
+    rows = stats.withColumns({"__odds": odds, "__own": own})
     extreme = F.when(F.col("ts") >= F.col("__own"), F.col("__odds")).otherwise(0.0)
     n = F.count(F.lit(1))
     level = F.ceil(F.lit(0.05) * n) / n

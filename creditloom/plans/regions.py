@@ -54,11 +54,10 @@ def region_panel(individuals: DataFrame, study: Study = STUDY) -> DataFrame:
 
 
 def _eligible(panel: DataFrame, study: Study) -> DataFrame:
-    group = ["treated", "fm_damage", "fsa"]
-    kept = region.eligible_groups(
-        clean.urban_only(panel, "fsa"), group, "n_active", study.min_active
+    # The region is part of the group, so dropping rural rows first drops whole groups.
+    return region.keep_eligible(
+        clean.urban_only(panel, "fsa"), ["treated", "fm_damage", "fsa"], "n_active", study.min_active
     )
-    return region.keep_groups(panel, kept, group)
 
 
 def descriptive_table(panel: DataFrame, study: Study = STUDY) -> DataFrame:

@@ -108,11 +108,11 @@ def placebo_study(
 ) -> dict[str, DataFrame]:
     """All fits, weights, gaps, p-values and confidence bands of one outcome.
 
-    ``rows`` carries variant, unit_id, run_date and the spec's columns.  The fits are the costly
-    part, so they are materialised once.
+    ``rows`` carries variant, unit_id, run_date and the spec's columns.  Matrices, fits and gaps
+    are small but read by several results, so they are materialised once.
     """
-    x = synthetic.predictors(rows, spec)
-    y = synthetic.outcomes(rows, spec)
+    x = materialise(synthetic.predictors(rows, spec))
+    y = materialise(synthetic.outcomes(rows, spec))
     units = synthetic.complete_units(x, y)
     packed = synthetic.pack_units(x, y)
     fitted = materialise(
@@ -121,7 +121,7 @@ def placebo_study(
     weights = synthetic.drop_failed(
         synthetic.donor_weights(fitted), synthetic.failed_units(fitted)
     )
-    gaps = synthetic.paths(y, weights)
+    gaps = materialise(synthetic.paths(y, weights))
     out = {
         "fits": fitted,
         "weights": weights,

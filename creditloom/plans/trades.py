@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -189,3 +190,24 @@ def consumer_loans(adjusted: DataFrame, product: str) -> DataFrame:
         insured="ml_insured" if product == "ML" else None,
         nullable_keys=place,
     )
+
+
+def all_consumer_loans(
+    accounts: DataFrame,
+    panel: DataFrame,
+    study: Study = STUDY,
+    materialise: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> dict[str, DataFrame]:
+    """Consumer-product panels of all families, by column prefix.
+
+    The families do not depend on each other, so their stages are submitted side by side and
+    share the cluster instead of leaving it idle at the end of each stage.
+    """
+
+    def one(product: str) -> DataFrame:
+        cleaned = clean_accounts(accounts, panel, product, study, materialise=materialise)
+        adjusted = time_adjust(cleaned, panel, product, study, materialise)
+        return materialise(consumer_loans(adjusted, product))
+
+    with ThreadPoolExecutor(len(PREFIX)) as pool:
+        return dict(zip(PREFIX.values(), pool.map(one, PREFIX)))

@@ -219,8 +219,8 @@ def region_eligibility(inp):
     panel = region.region_panel(inp("individual_month"), "tu_consumer_id").select(
         "run_date", *group, "n_active"
     )
-    kept = region.eligible_groups(clean.urban_only(panel, "fsa"), group, "n_active", 5)
-    return region.keep_groups(panel, kept, group).select("run_date", *group, "n_active")
+    kept = region.keep_eligible(clean.urban_only(panel, "fsa"), group, "n_active", 5)
+    return kept.select("run_date", *group, "n_active")
 
 
 @query(

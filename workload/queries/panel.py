@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from creditloom.functions.dates import DAY, quarter_label
 from creditloom.operators import asof, quality, ratings, reshape, tenure
+from creditloom.session import cut_lineage
 from workload.queries.scans import STATUS_OUT, day_status, status_ctes, trade_days
 from workload.registry import as_double, query, r
 
@@ -67,8 +68,9 @@ def rebuilt_ctes() -> str:
 
 
 def rebuilt_days(inp):
+    # Matching and joining back both read the rows with status.
     return asof.rebuild_as_of(
-        day_status(trade_days(inp)), "trade_id", "run_date", "reported_date", "terminal", 3, DAY
+        cut_lineage(day_status(trade_days(inp))), "trade_id", "run_date", "reported_date", "terminal", 3, DAY
     )
 
 

@@ -50,7 +50,7 @@ def loans(inp, panel, product):
 
 
 def all_loans(inp, panel):
-    return {trades.PREFIX[p]: loans(inp, panel, p) for p in trades.PREFIX}
+    return trades.all_consumer_loans(inp("bureau_account"), panel, FIXTURE, cut_lineage)
 
 
 @query(
@@ -104,7 +104,7 @@ for _product in trades.PREFIX:
         f"WITH {sql.consumer()}, {sql.FACTORS}, {sql.accounts(_product)} SELECT * FROM {_name}_clean",
     )
     def pipe_trade_clean(inp, product=_product):
-        return cleaned(inp, consumer_panel(inp), product)
+        return cleaned(inp, cut_lineage(consumer_panel(inp)), product)
 
     @query(
         "pipe_time_adjust" if _product == "ML" else f"pipe_time_adjust_{_name}",
@@ -217,5 +217,5 @@ panel AS (SELECT * FROM totals LEFT JOIN holders USING (run_date, treated, fm_da
 @query("pipe_region_panel_origin", f"WITH {ORIGIN_CTES}, {KEEP} SELECT * FROM df_synth")
 def pipe_region_panel_origin(inp):
     panel = cut_lineage(consumer_panel(inp))
-    loans_by_product = {k: cut_lineage(v) for k, v in all_loans(inp, panel).items()}
-    return rounded(regions.region_panel_by_origin(panel, loans_by_product, FIXTURE), "bc_use")
+    out = regions.region_panel_by_origin(panel, all_loans(inp, panel), FIXTURE)
+    return rounded(out, "bc_use")

@@ -33,9 +33,13 @@ PANEL = "SELECT unit_id, fsa, run_date, bal_tot, arr_rt, CAST(n_active AS DOUBLE
 
 
 def panel(inp):
-    return inp.sql(PANEL).withColumns(
-        {VARIANT: F.lit("all"), "ln_bal": credit.safe_log(c("bal_tot"))}
-    )
+    """The region panel, written once per query run: most results read it several times."""
+    if not hasattr(inp, "scm_panel"):
+        rows = inp.sql(PANEL).withColumns(
+            {VARIANT: F.lit("all"), "ln_bal": credit.safe_log(c("bal_tot"))}
+        )
+        inp.scm_panel = cut_lineage(rows)
+    return inp.scm_panel
 
 
 def units(inp):
