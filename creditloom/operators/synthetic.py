@@ -46,7 +46,10 @@ def event_window(df: DataFrame, date: str, spec: ScmSpec, pre: str = "pre") -> D
 def predictors(
     panel: DataFrame, spec: ScmSpec, unit: str = "unit_id", date: str = "run_date"
 ) -> DataFrame:
-    """(variant, unit, predictor, value): the pre-window mean of the level and quarter means of each series."""
+    """(variant, unit, predictor, value): pre-window mean of the level and quarter means of each series.
+
+    A unit without any observation in a quarter has no row for it.
+    """
     rows = event_window(panel, date, spec).withColumn("__q", quarter_label(F.col(date)))
     wanted = {f"{spec.level}": F.avg(F.when(F.col("pre") == 1, F.col(spec.level)))}
     for series in spec.series:
@@ -63,7 +66,7 @@ def predictors(
             for i, name in enumerate(names)
         ]
     )
-    return wide.select(VARIANT, unit, F.inline(pairs))
+    return wide.select(VARIANT, unit, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def outcomes(
@@ -346,7 +349,8 @@ def conf_coefs(
     )
     base = c("gap") + c("__w") * c("__own") if family == "uniform" else c("gap")
     slope = c("__w") * (c("__k") if family == "linear" else F.lit(1.0))
-    post = c("pre") == 0
+    # Periods in which the treated unit itself is not observed carry no null path.
+    post = (c("pre") == 0) & c("__k").isNotNull()
     own_gap = F.when(post & (c(unit) == treated), c("gap"))
     start = {
         "uniform": F.lit(0.0),
@@ -359,7 +363,7 @@ def conf_coefs(
         F.avg(F.when(post, base * base)).alias("a"),
         F.avg(F.when(post, base * slope)).alias("b"),
         F.avg(F.when(post, slope * slope)).alias("k"),
-        F.avg(F.when(~post, c("gap") * c("gap"))).alias("pre_ms"),
+        F.avg(F.when(c("pre") == 1, c("gap") * c("gap"))).alias("pre_ms"),
         start.alias("start"),
     )
 

@@ -41,7 +41,8 @@ def consumer_panel(
 ) -> DataFrame:
     """Cleaned consumer-month rows of everybody ever seen in the study provinces.
 
-    ``materialise`` is applied to the postal lookup, whose size decides how it is joined.
+    ``materialise`` is applied to the sampled rows, which are read twice, and to the postal lookup,
+    whose size decides how it is joined.
     """
     c = F.col
     base = clean.sentinel_to_null(
@@ -61,9 +62,9 @@ def consumer_panel(
         c("go91").alias("deceased"),
     )
     members = base.where(c("prov").isin(*study.provinces)).select("tu_consumer_id").distinct()
-    alive = joins.keep_ever(base, "tu_consumer_id", members).where(c("deceased") == "N")
+    alive = joins.keep_ever(base.where(c("deceased") == "N"), "tu_consumer_id", members)
     adjusted = joins.address_override(
-        alive.drop("deceased"),
+        materialise(alive.drop("deceased")),
         "tu_consumer_id",
         "run_date",
         LOCATION,
@@ -113,11 +114,15 @@ def tenure_panel(
     accounts: DataFrame,
     study: Study = STUDY,
     with_check: bool = False,
+    materialise: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Home ownership and length of stay for the sampled consumers' whole history."""
+    """Home ownership and length of stay for the sampled consumers' whole history.
+
+    ``materialise`` is applied to that history, which three branches read.
+    """
     c = F.col
     where = ["fsa", "ldu"]
-    rows = joins.keep_ever(
+    sampled = joins.keep_ever(
         history.select(
             "tu_consumer_id",
             dates.ym_to_date(c("run_date")).alias("run_date"),
@@ -128,6 +133,7 @@ def tenure_panel(
         "tu_consumer_id",
         sample.select("tu_consumer_id").distinct(),
     )
+    rows = materialise(sampled)
     loans = mortgage_history(accounts, study)
     counts = None
     if with_check:

@@ -76,10 +76,18 @@ def heloc_ids(derived: DataFrame) -> DataFrame:
     )
 
 
-def line_ids(accounts: DataFrame, panel: DataFrame) -> DataFrame:
-    """Home-equity line ids of the sampled consumers, for the other-loans family."""
-    lines = joins.keep_ever(read_accounts(accounts, "HELOC"), "tu_consumer_id", panel)
-    return heloc_ids(derive_amounts(lines))
+def sampled_rows(
+    accounts: DataFrame, panel: DataFrame, product: str, study: Study = STUDY
+) -> DataFrame:
+    """Rows of one family for sampled consumers, with one month of context before the start."""
+    first = MONTH.shift(F.lit(study.accounts_start), -1)
+    rows = read_accounts(accounts, product).where(F.col("run_date") >= first)
+    return joins.keep_ever(rows, "tu_consumer_id", panel.select("tu_consumer_id").distinct())
+
+
+def line_ids(accounts: DataFrame, panel: DataFrame, study: Study = STUDY) -> DataFrame:
+    """Home-equity lines among the sampled consumers' lines of credit."""
+    return heloc_ids(derive_amounts(sampled_rows(accounts, panel, "HELOC", study)))
 
 
 def add_product_category(df: DataFrame, lines: DataFrame) -> DataFrame:
@@ -102,22 +110,19 @@ def clean_accounts(
 ) -> DataFrame:
     """Cleaned account-month rows with status, from one month of context before the start on.
 
-    ``materialise`` is applied to the rows with status: the group sizes and all later steps read
-    them again.
+    ``lines`` are the home-equity lines, if already known.  ``materialise`` is applied to the rows
+    with status: the group sizes and all later steps read them again.
     """
     c = F.col
-    # One month before the start is read as context for the status and trimmed at the end.
-    first = MONTH.shift(F.lit(study.accounts_start), -1)
-    rows = read_accounts(accounts, product).where(c("run_date") >= first)
-    rows = joins.keep_ever(rows, "tu_consumer_id", panel.select("tu_consumer_id").distinct())
+    rows = sampled_rows(accounts, panel, product, study)
     if product == "ML":
         rows = joins.flag_ever(rows, "tu_trade_id", c("insurance_indicator") == "Y", "ml_insured")
     rows = derive_amounts(rows)
+    if product in ("HELOC", "OTHER") and lines is None:
+        lines = line_ids(accounts, panel, study)
     if product == "HELOC":
-        rows = joins.keep_ever(rows, "tu_trade_id", heloc_ids(rows))
+        rows = joins.keep_ever(rows, "tu_trade_id", lines)
     elif product == "OTHER":
-        if lines is None:
-            lines = line_ids(accounts, panel)
         rows = add_product_category(rows, lines).where(c("product_cat") != "HELOC")
         rows = rows.drop("narrative_code1", "narrative_code2")
     rows = clean.clean_trades(
@@ -204,8 +209,11 @@ def all_consumer_loans(
     share the cluster instead of leaving it idle at the end of each stage.
     """
 
+    # Both the line family and the other loans need to know which lines are home-equity lines.
+    lines = materialise(line_ids(accounts, panel, study))
+
     def one(product: str) -> DataFrame:
-        cleaned = clean_accounts(accounts, panel, product, study, materialise=materialise)
+        cleaned = clean_accounts(accounts, panel, product, study, lines, materialise)
         adjusted = time_adjust(cleaned, panel, product, study, materialise)
         return materialise(consumer_loans(adjusted, product))
 

@@ -19,7 +19,12 @@ def con():
     connection.close()
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+# The region panels run every family through every stage; the single stages of each family are
+# compared by ``python -m workload.check``.
+STAGES = ("pipe_trade_clean", "pipe_time_adjust_", "pipe_consumer_loans", "pipe_region_facts")
+
+
+@pytest.mark.parametrize("name", sorted(n for n in registry.ORACLES if not n.startswith(STAGES)))
 def test_query_equals_sql(spark, con, name):
     verdict = compare(spark, con, name, SF_DIR)
     assert verdict.startswith(("equal", "EMPTY", "~9")), verdict

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
 from creditloom.functions import credit
 from creditloom.operators import balances, clean, joins, quality, region, reshape
+from creditloom.plans import scm_study
+from creditloom.plans.study import STUDY
 from workload.queries.scans import day_status, status_ctes, trade_days
 from workload.registry import as_double, as_money, query, r, rounded
 
@@ -319,3 +322,53 @@ def arrears_pivot(inp):
         day_status(trade_days(inp)), "run_date", "mop", "terminal", "current_balance", "trade_id"
     )
     return as_double(out, "balance_0", "balance_4")
+
+
+@query(
+    "region_checks",
+    f"""
+    WITH {region_ctes('{individual_month}')}
+    SELECT run_date, treated, fm_damage, fsa, ml_bal_ins_tot / nullif(ml_bal_tot, 0) AS ml_ins_rt,
+      CAST(n_nearprime + n_subprime AS DOUBLE) / nullif(n_ml_ins, 0) AS belowprime_rt,
+      CAST(n_nearprime_fsa + n_subprime_fsa AS DOUBLE) / nullif(n_active, 0) AS belowprime_fsa_rt,
+      CAST(n_bc_use_80_plus AS DOUBLE) / nullif(n_ml_ins, 0) AS illiquid_rt,
+      CAST(n_bc_use_80_plus_fsa AS DOUBLE) / nullif(n_active, 0) AS illiquid_fsa_rt,
+      100 * bc_bal_arr_tot / nullif(bc_bal_tot, 0) AS bc_arr_rt,
+      min(n_active) OVER (PARTITION BY fsa, treated, fm_damage) AS min_n_active
+    FROM panel
+    """,
+)
+def region_checks(inp):
+    checked = scm_study.check_rates(region.region_panel(inp("individual_month"), "tu_consumer_id"))
+    return checked.select(
+        "run_date", "treated", "fm_damage", "fsa", "ml_ins_rt", "belowprime_rt", "belowprime_fsa_rt",
+        "illiquid_rt", "illiquid_fsa_rt", "bc_arr_rt", "min_n_active",
+    )
+
+
+_TREATED_TOTALS = (
+    "ml_bal_ins_tot", "ml_bal_arr_ins_tot", "ml_chargoff_new_ins_tot", "ml_bal_tot", "ml_bal_arr_tot", "ml_chargoff_new_tot",
+)
+
+
+@query(
+    "treated_index",
+    f"""
+    WITH {region_ctes('{individual_month}')},
+    sums AS (SELECT treated, fm_damage, run_date, {', '.join(f'SUM({m}) AS {m}' for m in _TREATED_TOTALS)} FROM panel
+      WHERE treated = 1 AND run_date BETWEEN DATE '1996-01-01' AND DATE '2001-01-01' GROUP BY 1, 2, 3),
+    base AS (SELECT treated, fm_damage, ml_bal_ins_tot AS b1, ml_bal_arr_ins_tot AS b2 FROM sums WHERE run_date = DATE '1998-06-01')
+    SELECT s.treated, s.fm_damage, s.run_date, {', '.join(f'round(s.{m}, 6) AS {m}' for m in _TREATED_TOTALS)},
+      round(100 * ml_bal_arr_ins_tot / nullif(ml_bal_ins_tot, 0), 6) AS ml_ins_arr_rt,
+      round(100 * ml_bal_arr_tot / nullif(ml_bal_tot, 0), 6) AS ml_arr_rt,
+      round(ml_bal_ins_tot / nullif(b1, 0), 6) AS ml_bal_ins_tot_norm, round(ml_bal_arr_ins_tot / nullif(b2, 0), 6) AS ml_bal_arr_ins_tot_norm
+    FROM sums AS s LEFT JOIN base ON base.treated = s.treated AND base.fm_damage = s.fm_damage
+    """,
+)
+def treated_index(inp):
+    study = replace(STUDY, window=(D(1996, 1, 1), D(2001, 1, 1)), base_date=D(1998, 6, 1))
+    panel = region.region_panel(inp("individual_month"), "tu_consumer_id")
+    out = scm_study.treated_aggregates(panel, study)
+    return rounded(
+        out, *_TREATED_TOTALS, "ml_ins_arr_rt", "ml_arr_rt", "ml_bal_ins_tot_norm", "ml_bal_arr_ins_tot_norm"
+    )

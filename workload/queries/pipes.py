@@ -64,7 +64,8 @@ def pipe_consumer_panel(inp):
 @query("pipe_tenure", f"WITH {sql.consumer()}, {sql.tenure()} SELECT * FROM tenure")
 def pipe_tenure(inp):
     return consumers.tenure_panel(
-        inp("bureau_consumer"), consumer_panel(inp), inp("bureau_account"), FIXTURE, with_check=True
+        inp("bureau_consumer"), consumer_panel(inp), inp("bureau_account"), FIXTURE, with_check=True,
+        materialise=cut_lineage,
     )
 
 
@@ -85,7 +86,7 @@ LEFT JOIN ml_ind AS m ON m.tu_consumer_id = crc.tu_consumer_id AND year(m.ref_da
 def pipe_consumer_combined(inp):
     panel = cut_lineage(consumer_panel(inp))
     tenure = consumers.tenure_panel(
-        inp("bureau_consumer"), panel, inp("bureau_account"), FIXTURE
+        inp("bureau_consumer"), panel, inp("bureau_account"), FIXTURE, materialise=cut_lineage
     )
     out = consumers.combined_consumers(
         panel, tenure, loans(inp, panel, "HELOC"), loans(inp, panel, "ML")

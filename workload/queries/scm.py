@@ -89,7 +89,7 @@ def scm_predictors(inp):
     f"""
     WITH {PREDICTORS}
     SELECT 'all' AS variant, predictor, round(max(CASE WHEN unit_id = {TREATED} THEN value END), 6) AS treated,
-      round(avg(CASE WHEN unit_id <> {TREATED} THEN value END), 6) AS synthetic,
+      round(SUM(CASE WHEN unit_id <> {TREATED} THEN value END) / ((SELECT COUNT(DISTINCT unit_id) FROM {{fsa_quarter}} AS f) - 1), 6) AS synthetic,
       round(avg(CASE WHEN unit_id <> {TREATED} THEN value END), 6) AS sample_mean
     FROM x GROUP BY predictor
     """,
@@ -231,6 +231,44 @@ def scm_weights(inp):
     return synthetic.donor_weights(fixture_fits(inp))
 
 
+@query(
+    "scm_weights_optimal",
+    """
+    SELECT CAST(unit_id AS STRING) AS job, (SELECT COUNT(DISTINCT unit_id) FROM {fsa_quarter} AS g) - 1 AS n_donor,
+      CAST(1 AS DOUBLE) AS total, CAST(1 AS INT) AS feasible, CAST(1 AS INT) AS optimal
+    FROM (SELECT DISTINCT unit_id FROM {fsa_quarter} AS f) AS u
+    """,
+)
+def scm_weights_optimal(inp):
+    """Optimality conditions of every fit, from predictors and weights alone.
+
+    At the optimum no donor's slope of the scaled, equally weighted distance lies below the
+    weighted mean slope.
+    """
+    x = synthetic.predictors(panel(inp), SPEC)
+    spread = x.groupBy(VARIANT, "predictor").agg(F.stddev_samp("value").alias("sd"))
+    z = x.join(spread.where(c("sd") > 0), [VARIANT, "predictor"]).select(
+        "unit_id", "predictor", (c("value") / c("sd")).alias("z")
+    )
+    weights = cut_lineage(synthetic.donor_weights(fixture_fits(inp)))
+    donors = weights.join(z.withColumnRenamed("unit_id", "donor"), "donor")
+    fitted = donors.groupBy("job", "predictor").agg(F.sum(c("weight") * c("z")).alias("fit"))
+    own = z.select(c("unit_id").cast("string").alias("job"), "predictor", c("z").alias("own"))
+    residual = fitted.join(own, ["job", "predictor"]).select(
+        "job", "predictor", (c("fit") - c("own")).alias("off")
+    )
+    slopes = donors.join(residual, ["job", "predictor"]).groupBy("job", "donor", "weight").agg(
+        F.sum(c("z") * c("off")).alias("slope")
+    )
+    excess = F.sum(c("weight") * c("slope")) - F.min("slope")
+    return slopes.groupBy("job").agg(
+        F.count(F.lit(1)).alias("n_donor"),
+        F.round(F.sum("weight"), 6).alias("total"),
+        F.when(F.min("weight") >= 0, 1).otherwise(0).alias("feasible"),
+        F.when(excess < 1e-5, 1).otherwise(0).alias("optimal"),
+    )
+
+
 @query("scm_leave_one_out")
 def scm_leave_one_out(inp):
     rows = panel(inp)
