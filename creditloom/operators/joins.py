@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from creditloom.functions import geo
+
 NULL_SALTS = 256
 
 
@@ -46,7 +48,7 @@ def left_attach(
     return joined.select(*df.columns, *extra)
 
 
-def checked_broadcast(lookup: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+def checked_broadcast(lookup: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
     """Broadcast a lookup after checking its size; a larger one goes through an ordinary join."""
     small = lookup.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(lookup) if small else lookup
@@ -159,28 +161,30 @@ SITE_BLOCK = 20_000
 def min_distance(
     units: DataFrame,
     sites: DataFrame,
-    distance,
     lat: str = "latitude",
     lon: str = "longitude",
     name: str = "distance_min",
 ) -> DataFrame:
-    """Distance of every unit to its nearest site.
+    """Distance of every unit to its nearest site in km; NULL without sites.
 
     The distinct site coordinates travel as an array literal from a scalar subquery, so units are
     never paired up in a join and never shuffled.  The number of sites is checked first; beyond
-    one block the sites are split by hash and the minimum runs over the blocks.
+    one block the sites are split by hash and the best runs over the blocks.  The largest cosine
+    belongs to the nearest site, so the angle itself is only taken once per unit.
     """
     points = sites.select(lat, lon).dropna().distinct()
     blocks = max(1, -(-points.count() // SITE_BLOCK))
-    out, nearest = units, []
+    out, best = units, []
     for block in range(blocks):
         part = points.where(F.pmod(F.hash(lat, lon), F.lit(blocks)) == block)
         packed = part.agg(F.collect_list(F.struct(lat, lon)).alias("points")).scalar()
         out = out.withColumn(f"__sites_{block}", packed)
         per_site = F.transform(
             f"__sites_{block}",
-            lambda s: distance(F.col(lat), F.col(lon), s.getField(lat), s.getField(lon)),
+            lambda s: geo.cosine(F.col(lat), F.col(lon), s.getField(lat), s.getField(lon)),
         )
-        nearest.append(F.array_min(per_site))
-    shortest = F.least(*nearest) if blocks > 1 else nearest[0]
-    return out.withColumn(name, shortest).drop(*[f"__sites_{b}" for b in range(blocks)])
+        best.append(F.array_max(per_site))
+    closest = F.greatest(*best) if blocks > 1 else best[0]
+    # LEAST skips NULL, so no site must be told apart from a coincident one.
+    distance = F.when(closest.isNotNull(), geo.km_of_cosine(closest))
+    return out.withColumn(name, distance).drop(*[f"__sites_{b}" for b in range(blocks)])

@@ -34,6 +34,13 @@ def rating_checks(
     )
 
 
+def recovered_accounts(df: DataFrame, checks: DataFrame, id_col: str, date: str, span: tuple) -> DataFrame:
+    """Rows in the span of the accounts that were in arrears and recovered."""
+    recovered = checks.where((F.col("check_arr") == 1) & (F.col("check_recover") == 1))
+    inside = df.where(F.col(date).between(F.lit(span[0]), F.lit(span[1])))
+    return inside.join(recovered.select(id_col), id_col, "left_semi")
+
+
 def arrears_pivot(
     df: DataFrame, date: str, rating: str, terminal: str, balance: str, id_col: str
 ) -> DataFrame:

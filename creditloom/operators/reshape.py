@@ -53,6 +53,14 @@ def sample_entities(df: DataFrame, id_col: str, fraction: float, seed: int) -> D
     return df.where(draw < int(round(fraction * million)))
 
 
+def cohort_extract(
+    df: DataFrame, id_col: str, predicate: Column, fraction: float = 1.0, seed: int = 0
+) -> DataFrame:
+    """All rows of a (sampled) cohort: the ids that satisfy the predicate anywhere."""
+    cohort = df.where(predicate).select(id_col).distinct()
+    return df.join(sample_entities(cohort, id_col, fraction, seed), id_col, "left_semi")
+
+
 def pivot_measures(
     df: DataFrame, key: str, column: str, values: Sequence, measures: dict[str, Column]
 ) -> DataFrame:

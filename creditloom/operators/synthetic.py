@@ -209,6 +209,10 @@ def donor_weights(fitted: DataFrame) -> DataFrame:
     return fitted.where(F.col("kind") == "w").select(VARIANT, "job", "donor", "weight")
 
 
+def predictor_weights(fitted: DataFrame) -> DataFrame:
+    return fitted.where(F.col("kind") == "v").select(VARIANT, "job", "predictor", "weight")
+
+
 def failed_units(fitted: DataFrame) -> DataFrame:
     return fitted.where(F.col("kind") == "failed").select(
         VARIANT, F.col("job").cast("long").alias("unit_id")

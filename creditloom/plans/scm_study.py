@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from creditloom.functions import credit
 from creditloom.operators import region, reshape, synthetic
@@ -63,13 +63,16 @@ def check_rates(panel: DataFrame) -> DataFrame:
             "bc_arr_rt": credit.rate_pct(c("bc_bal_arr_tot"), c("bc_bal_tot")),
         }
     )
-    return reshape.with_group_extremes(
-        shares, ["fsa", "treated", "fm_damage"], min_n_active=F.min("n_active")
-    )
+    # A window group is one region's periods.
+    per_region = Window.partitionBy("fsa", "treated", "fm_damage")
+    return shares.withColumn("min_n_active", F.min("n_active").over(per_region))
 
 
 def variants(panel: DataFrame) -> DataFrame:
-    """Unit ids, and one copy of the controls per damage variant of the treated area."""
+    """Unit ids, and one copy of the controls per damage variant of the treated area.
+
+    The panel is read twice, so pass a materialised one.
+    """
     with_ids = panel.join(reshape.unit_ids(panel, "fsa"), "fsa")
     severe, other = F.lit("severe"), F.lit("nonsevere")
     own = F.when(F.col("fm_damage") == 1, F.array(severe)).otherwise(F.array(other))
@@ -125,6 +128,7 @@ def placebo_study(
     out = {
         "fits": fitted,
         "weights": weights,
+        "predictor_weights": synthetic.predictor_weights(fitted),
         "top_weights": reshape.top_k_per_group(
             weights.where(F.col("job") == str(treated)), [VARIANT], "weight", "donor"
         ),

@@ -4,7 +4,6 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.functions import geo
 from creditloom.operators import balances, clean, joins, quality, region, reshape, status
 from tests.conftest import rows, tidy
 
@@ -64,7 +63,7 @@ def test_min_distance_over_blocks(spark, monkeypatch, block):
     sites = [(rng.uniform(56, 57), rng.uniform(-112, -111)) for _ in range(23)]
     schema = "latitude double, longitude double"
     u = spark.createDataFrame([(i, *p) for i, p in enumerate(units)], "i int, " + schema)
-    out = joins.min_distance(u, spark.createDataFrame(sites, schema), geo.geo_km)
+    out = joins.min_distance(u, spark.createDataFrame(sites, schema))
     got = [r.distance_min for r in out.orderBy("i").collect()]
     assert got == pytest.approx(brute(units, sites), abs=1e-5)
     assert out.columns == ["i", "latitude", "longitude", "distance_min"]
@@ -72,7 +71,7 @@ def test_min_distance_over_blocks(spark, monkeypatch, block):
 
 def test_min_distance_without_sites(spark):
     u = spark.createDataFrame([(50.0, -110.0)], "latitude double, longitude double")
-    assert joins.min_distance(u, u.where("latitude < 0"), geo.geo_km).first().distance_min is None
+    assert joins.min_distance(u, u.where("latitude < 0")).first().distance_min is None
 
 
 def test_checked_broadcast_leaves_large_lookups_alone(spark):

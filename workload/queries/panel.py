@@ -195,6 +195,37 @@ def rating_checks(inp):
     )
 
 
+@query(
+    "recovered_accounts",
+    f"""
+    WITH src AS ({ADJUSTED})
+    SELECT trade_id, run_date, mop, mop_adj FROM src WHERE run_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-25'
+      AND trade_id IN (SELECT trade_id FROM src WHERE run_date = DATE '2024-01-12' AND TRY_CAST(mop_adj AS INT) >= 4)
+      AND trade_id IN (SELECT trade_id FROM src WHERE run_date = DATE '2024-01-13' AND TRY_CAST(mop_adj AS INT) < 4)
+    """,
+)
+def recovered_accounts(inp):
+    src = inp.sql(ADJUSTED)
+    checks = quality.rating_checks(
+        src, "trade_id", "run_date", "mop", "mop_adj", D(2024, 1, 12), D(2024, 1, 13)
+    )
+    return quality.recovered_accounts(
+        src, checks, "trade_id", "run_date", (D(2024, 1, 5), D(2024, 1, 25))
+    )
+
+
+@query(
+    "cohort_extract",
+    """
+    SELECT trade_id, run_date, mop, loc FROM {trade_day} AS t
+    WHERE trade_id IN (SELECT trade_id FROM {trade_day} AS s WHERE mop = '5' AND loc = 'view')
+    """,
+)
+def cohort_extract(inp):
+    rows = inp("trade_day").select("trade_id", "run_date", "mop", "loc")
+    return reshape.cohort_extract(rows, "trade_id", (c("mop") == "5") & (c("loc") == "view"))
+
+
 @query(
     "quarter_means",
     """

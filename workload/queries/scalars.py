@@ -273,7 +273,7 @@ def postal_split(inp):
 def nearest_site_distance(inp):
     units = inp("bureau_geo")
     sites = units.where(c("pstlcode").startswith("T9"))
-    near = joins.min_distance(units, sites, geo.geo_km)
+    near = joins.min_distance(units, sites)
     return near.select("pstlcode", r(c("distance_min"), 4).alias("distance_min"))
 
 

@@ -307,7 +307,8 @@ BUREAU_SPEC = scm_study.ARREARS.__class__(
 @query("pipe_scm")
 def pipe_scm(inp):
     """Bureau files to a confidence band for the treated area, per damage variant."""
-    rates = cut_lineage(scm_study.variants(scm_study.derive_rates(bureau_region_panel(inp))))
+    rates = scm_study.derive_rates(cut_lineage(bureau_region_panel(inp)))
+    rates = cut_lineage(scm_study.variants(rates))
     treated = rates.where(c("treated") == 1).agg(F.min("unit_id")).first()[0]
     if treated is None:
         treated = 0
