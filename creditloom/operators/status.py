@@ -10,6 +10,10 @@ from creditloom.functions.dates import MONTH, Step
 from creditloom.operators.joins import left_attach
 
 
+# Periods per block of one account's history.
+BLOCK = 64
+
+
 def prev_period_status(
     df: DataFrame,
     id_col: str,
@@ -24,46 +28,36 @@ def prev_period_status(
 ) -> DataFrame:
     """Add new_file, terminal and chargoff_new, and drop accounts already paid before.
 
-    Every row also announces its state to its next period, and both meet in a window over
-    (id, period).  That reads and shuffles the panel once, where a self join does both twice, and
-    the group is one account in one period, so an account with a very long history still spreads
-    over all tasks.  (id, period) is unique in the input.
+    The previous period is the lagged row if it is adjacent: one scan and one shuffle, where a self
+    join does both twice.  Histories are cut into blocks of BLOCK periods, and the last period of a
+    block is copied ahead of the next one, so that even a very long history of one account is
+    spread over tasks.  (id, period) is unique in the input.
     """
     lag = {
-        "__bal": F.col(balance),
-        "__chg": F.col(charged),
-        "__closed": F.col(closed_flag),
-        "__type": F.col(account_type) if account_type else F.lit(None).cast("string"),
+        "__last_date": F.col(date),
+        "__last_bal": F.col(balance),
+        "__last_chg": F.col(charged),
+        "__last_closed": F.col(closed_flag),
+        "__last_type": F.col(account_type) if account_type else F.lit(None).cast("string"),
     }
-    nothing = {name: F.lit(None) for name in lag}
-    now = F.struct(
-        *[F.col(name) for name in df.columns],
-        *[value.alias(name) for name, value in nothing.items()],
-        F.lit(0).alias("__past"),
-    )
-    moved = {id_col: F.col(id_col), date: step.shift(F.col(date), 1)}
-    past = F.struct(
-        *[moved.get(name, F.lit(None)).alias(name) for name in df.columns],
-        *[value.alias(name) for name, value in lag.items()],
-        F.lit(1).alias("__past"),
-    )
-    # A row without an id has no past; its salt keeps such rows from sharing one group.
-    known = F.col(id_col).isNotNull()
-    salt = F.when(known, 0).otherwise(F.xxhash64(*df.columns))
-    told = df.select(
-        salt.alias("__salt"), F.inline(F.when(known, F.array(now, past)).otherwise(F.array(now)))
-    )
-    period = Window.partitionBy(id_col, date, "__salt")
-    joined = told.withColumns(
-        {
-            "__seen": F.max("__past").over(period) == 1,
-            **{f"__last{name[1:]}": F.max(name).over(period) for name in lag},
-        }
-    ).where(F.col("__past") == 0)
+    period = step.index(F.col(date))
+    closes_block = F.pmod(period, F.lit(BLOCK)) == BLOCK - 1
+    copies = F.when(closes_block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    blocked = df.select(
+        *df.columns,
+        # A row without an id has no past; its hash keeps such rows from sharing one group.
+        F.when(F.col(id_col).isNull(), F.xxhash64(*df.columns)).otherwise(0).alias("__salt"),
+        F.explode(copies).alias("__copy"),
+    ).withColumn("__block", F.floor((period + F.col("__copy")) / BLOCK))
+    history = Window.partitionBy(id_col, "__block", "__salt").orderBy(date)
+    joined = blocked.withColumns(
+        {name: F.lag(value).over(history) for name, value in lag.items()}
+    ).where(F.col("__copy") == 0)
+    adjacent = F.coalesce(F.col("__last_date") == step.shift(F.col(date), -1), F.lit(False))
 
     bal, chg = F.col(balance), F.col(charged)
     instalment = F.col(account_type).isin("M", "I") if account_type else F.lit(False)
-    first_seen = ~F.col("__seen")
+    first_seen = ~adjacent
     recently_opened = (
         F.col(opened) >= step.shift(F.col(date), -opened_within) if opened else F.lit(False)
     )
@@ -79,7 +73,7 @@ def prev_period_status(
     )
     # Unknown last status (first appearance) does not count as a transition.
     was_written_off = (F.col("__last_bal") > 0) & (F.col("__last_chg") >= F.col("__last_bal"))
-    chargoff_new = F.when(~was_written_off & written_off, chg).otherwise(0)
+    chargoff_new = F.when(adjacent & ~was_written_off & written_off, chg).otherwise(0)
 
     was_instalment = F.col("__last_type").isin("M", "I") if account_type else F.lit(False)
     paid_before = ((F.col("__last_bal") == 0) & (bal == 0)) & (

@@ -94,18 +94,24 @@ def test_status_rows_without_id_never_match(spark):
     assert rows(out, "payload", "new_file") == [(t, "legacy") for t in range(5)]
 
 
-def test_status_spreads_a_dominant_account(spark):
-    """One account with a third of all rows must not end in one task."""
+@pytest.mark.parametrize("block", [1, 2, 5])
+def test_status_does_not_depend_on_the_block_length(spark, monkeypatch, block):
+    data = random_accounts(11)
+    monkeypatch.setattr(status, "BLOCK", block)
+    got = rows(run_status(spark.createDataFrame(data, SCHEMA)), "id", "d", "payload", "new_file", "terminal", "chargoff_new")
+    assert got == expected_status(data)
+
+
+def test_status_splits_a_dominant_account(spark):
+    """One account with a third of all rows: no window group is longer than a block."""
     start = dt.date(2000, 1, 1)
     hot = [(0, start + dt.timedelta(days=t), 50, 0, "N", "R", None, t) for t in range(3000)]
     rest = [(1 + t % 600, start + dt.timedelta(days=t % 10), 50, 0, "N", "R", None, t) for t in range(6000)]
     df = spark.createDataFrame(hot + rest, SCHEMA).dropDuplicates(["id", "d"])
     out = status.prev_period_status(df, "id", "d", "bal", "chg", "closed", "typ", None, step=DAY)
-    spread = out.where(c("id") == 0).groupBy(F.spark_partition_id().alias("p")).count().collect()
-    assert sum(r["count"] for r in spread) == 3000
-    # AQE may fold small partitions, so check the exchange's key rather than the partition count.
+    assert out.where("id = 0 AND new_file = 'exist'").count() == 2999
     plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(id" in plan and "d#" in plan.split("hashpartitioning(id")[1].split(")")[0]
+    assert "__block" in plan.split("hashpartitioning(id")[1].split(")")[0]
 
 
 def random_reports(seed):
