@@ -221,9 +221,9 @@ for _family in synthetic.FAMILIES:
 
 
 def fixture_fits(inp, spec=SPEC):
-    rows = panel(inp)
-    packed = synthetic.pack_units(synthetic.predictors(rows, spec), synthetic.outcomes(rows, spec))
-    return synthetic.fit(synthetic.placebo_jobs(units(inp)), packed)
+    x, y = synthetic.predictors(panel(inp), spec), synthetic.outcomes(panel(inp), spec)
+    jobs = synthetic.placebo_jobs(synthetic.complete_units(x, y))
+    return synthetic.fit(jobs, synthetic.pack_units(x, y))
 
 
 @query("scm_weights")
@@ -234,9 +234,11 @@ def scm_weights(inp):
 @query(
     "scm_weights_optimal",
     """
-    SELECT CAST(unit_id AS STRING) AS job, (SELECT COUNT(DISTINCT unit_id) FROM {fsa_quarter} AS g) - 1 AS n_donor,
+    WITH inside AS (SELECT unit_id, run_date FROM {fsa_quarter} AS f WHERE run_date BETWEEN DATE '1996-01-01' AND DATE '2001-07-01'),
+    complete AS (SELECT unit_id FROM inside GROUP BY unit_id HAVING COUNT(*) = (SELECT COUNT(DISTINCT run_date) FROM inside))
+    SELECT CAST(unit_id AS STRING) AS job, (SELECT COUNT(*) FROM complete) - 1 AS n_donor,
       CAST(1 AS DOUBLE) AS total, CAST(1 AS INT) AS feasible, CAST(1 AS INT) AS optimal
-    FROM (SELECT DISTINCT unit_id FROM {fsa_quarter} AS f) AS u
+    FROM complete WHERE (SELECT COUNT(*) FROM complete) > 1
     """,
 )
 def scm_weights_optimal(inp):
@@ -246,6 +248,8 @@ def scm_weights_optimal(inp):
     weighted mean slope.
     """
     x = synthetic.predictors(panel(inp), SPEC)
+    complete = synthetic.complete_units(x, synthetic.outcomes(panel(inp), SPEC))
+    x = cut_lineage(x.join(complete, [VARIANT, "unit_id"]))
     spread = x.groupBy(VARIANT, "predictor").agg(F.stddev_samp("value").alias("sd"))
     z = x.join(spread.where(c("sd") > 0), [VARIANT, "predictor"]).select(
         "unit_id", "predictor", (c("value") / c("sd")).alias("z")
