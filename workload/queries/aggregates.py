@@ -142,7 +142,7 @@ AVG = "CAST(SUM({0}) AS DOUBLE) / COUNT({0})"
 
 
 def insured_sql(source: str, keys: str = KEYS) -> str:
-    """Reference form: the insured subset aggregated on its own."""
+    """Plain form: the insured subset aggregated on its own."""
     def avg(name: str, value: str) -> str:
         return AVG.format(value) + f" AS {name}"
 
@@ -165,7 +165,7 @@ def insured_sql(source: str, keys: str = KEYS) -> str:
 
 
 def active_sql(source: str, keys: str = KEYS) -> str:
-    """Reference form: all active consumers aggregated on their own."""
+    """Plain form: all active consumers aggregated on their own."""
     def total(name: str, test: str) -> str:
         return f"CAST(SUM(CASE WHEN {test} THEN 1 ELSE 0 END) AS BIGINT) AS {name}"
 
