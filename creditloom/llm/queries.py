@@ -7,8 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creditloom.llm import packing, simhash_bk
+from creditloom.llm import disclosure, forest, huffman, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity
 from creditloom.llm.base import ready
+from creditloom.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +34,49 @@ def op1(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@query("op2_huffman")
+def op2(spark, sf_dir):
+    path = scratch_path(spark, "coded")
+    huffman.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_toxicity")
+def op3(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op4_forest")
+def op4(spark, sf_dir):
+    return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op5_quality")
+def op5(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_tiling")
+def op6(spark, sf_dir):
+    found = tiling.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.round("coverage", 6).alias("coverage"), "n_tiles", "n_words", F.lit(True).alias("contaminated"))
+
+
+@query("op7_disclosure")
+def op7(spark, sf_dir):
+    return disclosure.report(table(spark, sf_dir, "documents"))
+
+
+@query("op8_license_markup")
+def op8(spark, sf_dir):
+    return license_markup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op9_page_template")
+def op9(spark, sf_dir):
+    return page_template.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))

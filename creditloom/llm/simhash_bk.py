@@ -160,3 +160,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     linked = grouped.join(least, "component").select("fp", "group_least")
     of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, in their own columns, whose id is the smallest of their group; repeated rows stay once.
+
+    Documents without an id stay if their group has no id at all.
+    """
+    kept = near_duplicates(docs, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(ids, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key, text])
