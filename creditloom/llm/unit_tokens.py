@@ -9,7 +9,8 @@ from __future__ import annotations
 import os
 import re
 
-# Units held per Python worker; the cache starts anew beyond that. Long units are not held.
+# Units held per Python worker in each of two generations: a full one becomes the old one, and units that are
+# met again move to the new one. Long units are not held.
 CACHE_UNITS = 400_000
 CACHE_UNIT_CHARS = 128
 
@@ -17,6 +18,7 @@ CACHE_UNIT_CHARS = 128
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_WHITE}]{{2}}")
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
+_MARK_BEFORE_STOP = re.compile(r"(?:\W|[_\u0130])[.,][ \n]")
 
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
@@ -28,6 +30,15 @@ def encoder(path: str, spaces_matter: bool) -> "UnitEncoder":
     return _ENCODERS[path, spaces_matter]
 
 
+def _is_latin(text: str) -> bool:
+    """Only characters whose lower case is the same everywhere."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class UnitEncoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
@@ -39,33 +50,49 @@ class UnitEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.spaces_matter, self.cache = Tokenizer.from_file(path), spaces_matter, {}
+        self.tokenizer, self.spaces_matter = Tokenizer.from_file(path), spaces_matter
+        self.cache, self.old = {}, {}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _units(self, text: str) -> list[str]:
+        lowered = text.lower() if "<" in text else ""
+        if any(token in lowered for token in self.special):
+            return [text]  # special tokens cut texts in ways of their own
+        # A comma or full stop that ends a word is a unit of its own, unless no letter or digit stands before it:
+        # the tokenizer keeps runs of marks together.
+        stops = not _MARK_BEFORE_STOP.search(text)
         if not self.spaces_matter:
-            # A space or a line end always parts two words here; other white space stays inside a unit.
-            return text.replace("\n", " ").split(" ")
-        if _RUN.search(text):
+            # White space parts words and is dropped; what is not a space or line end stays inside a unit.
+            flat = text.replace("\n", " ")
+            if _is_latin(flat):
+                flat = flat.lower()
+            if stops:
+                flat = flat.replace(", ", " , ").replace(". ", " . ")
+            return flat.split(" ")
+        if _RUN.search(text) or "\0" in text:
             return _UNITS.findall(text)
-        # Single white space only: a word starts at its space.
-        head, *rest = text.split(" ")
-        return [head, *[" " + part for part in rest]]
+        # Single white space only: a word starts at its space, a line end stands alone.
+        flat = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+        if stops:
+            flat = flat.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
+        return flat.split("\0")
 
     def encode(self, batch: list[str]) -> list[bytes]:
         units = [self._units(text) for text in batch]
-        cache = self.cache
-        unseen = list(set().union(*units).difference(cache))
-        extra = []
+        cache, old, unseen = self.cache, self.old, []
+        for unit in set().union(*units).difference(cache):
+            if unit in old:
+                cache[unit] = old[unit]
+            else:
+                unseen.append(unit)
         for at in range(0, len(unseen), 4096):
             part = unseen[at : at + 4096]
             for unit, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 cache[unit] = b"".join([i.to_bytes(4, "little") for i in made.ids])
-                if len(unit) > CACHE_UNIT_CHARS:
-                    extra.append(unit)
         found = [b"".join(map(cache.__getitem__, of)) for of in units]
-        if len(cache) > CACHE_UNITS:
-            cache.clear()
-        else:
-            for unit in extra:
+        for unit in unseen:
+            if len(unit) > CACHE_UNIT_CHARS:
                 del cache[unit]
+        if len(cache) > CACHE_UNITS:
+            self.cache, self.old = {}, cache
         return found
