@@ -14,7 +14,7 @@ A block is read without any other; within it all strides are decoded side by sid
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from creditloom.llm.base import map_rows, ready, texts
 from creditloom.llm.unit_tokens import encoder
@@ -228,9 +228,14 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
     spark.createDataFrame([(int(i), int(bits[i])) for i in np.flatnonzero(bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codes")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the files; ids as little-endian unsigned 32-bit integers."""
+def read(spark: SparkSession, path: str, keep: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, start, n_tokens, ids) of every document in the files; ids as little-endian unsigned 32-bit integers.
+
+    ``keep``: columns made of ``ids``, in its place. They are made before documents meet their start by a join, so
+    a digest does not send the ids through a shuffle.
+    """
     ready(spark)
+    keep = keep or {"ids": F.col("ids")}
     rows = spark.read.parquet(f"{path}/codes").collect()
     bits = np.zeros(max((r["id"] for r in rows), default=0) + 1, dtype=np.int64)
     for r in rows:
@@ -248,12 +253,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 yield [[bucket] * n, [block] * n, ids, starts, sizes, [raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist())]]
 
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(f"{path}/blocks")
-    found = map_rows(blocks, run, "bucket int, block int, doc_id long, inside long, n_tokens long, ids binary")
+    found = map_rows(blocks, run, "bucket int, block int, doc_id long, inside long, n_tokens long, ids binary").select(
+        "bucket", "block", "doc_id", "inside", "n_tokens", *[column.alias(name) for name, column in keep.items()]
+    )
     sizes = blocks.select("bucket", "block", F.aggregate("doc_tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
     within = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     across = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket of the file
     by_bucket = sizes.groupBy("bucket").agg(F.sum("n").alias("n")).select("bucket", F.coalesce(F.sum("n").over(across), F.lit(0)).alias("before_bucket"))
     starts = sizes.select("bucket", "block", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("before_block")).join(by_bucket, "bucket")
     return found.join(starts, ["bucket", "block"]).select(
-        "doc_id", (F.col("before_bucket") + F.col("before_block") + F.col("inside")).alias("start"), "n_tokens", "ids"
+        "doc_id", (F.col("before_bucket") + F.col("before_block") + F.col("inside")).alias("start"), "n_tokens", *keep
     )

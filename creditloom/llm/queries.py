@@ -38,7 +38,7 @@ def op1(spark, sf_dir):
 def op2(spark, sf_dir):
     path = scratch_path(spark, "coded")
     huffman.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
-    return huffman.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return huffman.read(spark, path, {"ids_crc32": F.crc32("ids")})
 
 
 @query("op3_toxicity")
