@@ -133,11 +133,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Model:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """Fit on a sample of the labels outside the held-out fold; None without labels."""
     ready(docs.sparkSession)
-    known = labels.select("doc_id", label).withColumn("__pick", F.xxhash64(F.col("doc_id"), F.lit(SEED)))
-    n = max(known.count(), 1)
-    share = min(1.0, 1.1 * FIT_ROWS / n)
-    bound = int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1
-    labelled = labelled_rows(docs, known.filter(F.col("__pick") <= F.lit(min(bound, 2**63 - 1))), label)
+    labelled = labelled_rows(docs, labels, label, FIT_ROWS)
 
     def traits(batches):
         for ids, tags, bodies in batches:

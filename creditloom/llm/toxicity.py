@@ -1,7 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Features are the words of a text and the beginnings of its words. The ones that best tell the labels apart are
-chosen by their counts over all labelled rows; a logistic model is fitted on them. In every sentence of the sample that names a
+chosen by their counts over the labelled sample; a logistic model is fitted on them. In every sentence of the sample that names a
 group, the name is swapped for others of its set, and the change of the score is penalised, so a neutral mention does not raise it.
 """
 
@@ -22,13 +22,12 @@ MIN_ROWS = 3
 # Log-likelihood gain a feature needs: among many thousand features, chance alone rarely gets there.
 MIN_GAIN = 9.0
 PREFIXES = (3, 4, 5)
-# The model is fitted on at most this many labelled rows; feature counts cover all of them.
+# Features are chosen and the model is fitted on at most this many labelled rows.
 FIT_ROWS = 20_000
 # Weight of squared score changes between a sentence and its swapped versions, and of squared weights.
 SWAP_PENALTY = 5.0
 DECAY = 2e-5
 STEPS = 400
-SEED = 3
 # Words whose features a Python worker remembers.
 HELD_WORDS = 400_000
 
@@ -162,23 +161,31 @@ def fit(rows: list[tuple[int, list[int], list]], names: list[str]) -> Model:
     return Model(dict(zip(names, w.tolist())), float(bias))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: int = 0) -> DataFrame:
-    """(__id, __text, label) of the rows outside the held-out fold; rows whose label is not 0 or 1 are no labels."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, bound: int, held_out: int = 0) -> DataFrame:
+    """(__id, __text, label) of at most ``bound`` labelled ids outside the held-out fold.
+
+    Labels other than 0 and 1 are no labels; of several labels of an id the largest counts. Beyond the bound the ids with
+    the smallest hashes are taken. The sample's bound also bounds its broadcast, so texts are not shuffled.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("__of"), F.col(label).cast("int").alias("label"))
-    known = known.filter((crc_mod(F.col("__of"), FOLDS) != held_out) & F.col("label").isin(0, 1)).dropDuplicates(["__of"])
+    known = known.filter((crc_mod(F.col("__of"), FOLDS) != held_out) & F.col("label").isin(0, 1))
+    known = known.groupBy("__of").agg(F.max("label").alias("label")).withColumn("__draw", F.pmod(F.xxhash64("__of"), F.lit(1 << 40)))
+    n = known.count()
+    if n > bound:
+        # A little more than the bound by hash, so that only few rows are sorted.
+        known = known.filter(F.col("__draw") < int(min(1.0, (1.1 * bound + 1000) / n) * (1 << 40)))
+    known = known.orderBy("__draw", "__of").limit(bound)
     rows = texts(docs)
-    return rows.join(known, rows["__id"] == known["__of"]).select("__id", "__text", "label")
+    return rows.join(F.broadcast(known), rows["__id"] == known["__of"]).select("__id", "__text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """Fit on the labels outside the held-out fold. Without labels every score is one half."""
     ready(docs.sparkSession)
-    labelled = cut_lineage(labelled_rows(docs, labels, label))
+    labelled = cut_lineage(labelled_rows(docs, labels, label, FIT_ROWS))
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     names = choose(labelled, (sizes.get(0, 0), sizes.get(1, 0)))
     number = {name: i for i, name in enumerate(names)}
-    share = min(1.0, 0.9 * FIT_ROWS / max(sum(sizes.values()), 1))
-    sample = labelled.filter(F.pmod(F.xxhash64(F.col("__id"), F.lit(SEED)), F.lit(1_000_000)) < int(share * 1_000_000)) if share < 1 else labelled
 
     def coded(batches):
         for ids, tags, bodies in batches:
@@ -187,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             yield [ids, tags, found, [[{"gone": g, "come": c} for g, c in own] for own in changed]]
 
     schema = "id long, label int, found array<int>, swaps array<struct<gone: array<int>, come: array<int>>>"
-    rows = map_rows(sample.select("__id", "label", "__text"), coded, schema).orderBy("id", "label").limit(FIT_ROWS).collect()
+    rows = map_rows(labelled.select("__id", "label", "__text"), coded, schema).orderBy("id", "label").limit(FIT_ROWS).collect()
     return fit([(r["label"], r["found"], [(s["gone"], s["come"]) for s in r["swaps"]]) for r in rows], names)
 
 

@@ -82,8 +82,10 @@ def test_labels_of_the_held_out_fold_are_not_learned(spark):
 
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
-    used = {r["__id"] for r in toxicity.labelled_rows(docs, labels, "toxic").collect()}
+    used = {r["__id"] for r in toxicity.labelled_rows(docs, labels, "toxic", 1000).collect()}
     assert used == {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    few = {r["__id"] for r in toxicity.labelled_rows(docs, labels, "toxic", 7).collect()}
+    assert len(few) == 7 and few < used
 
 
 def test_attention_gradients():
