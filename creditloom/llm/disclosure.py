@@ -126,22 +126,27 @@ def revealing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     contexts = near.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("n"))
     often = cut_lineage(contexts.filter(F.col("n") >= MIN_CONTEXTS).select("value", "term"))
     # Copies are documents too: rows count, not texts.
-    together = near.join(often, ["value", "term"], "left_semi")
-    pairs = cut_lineage(
-        found.filter("__key is not null").groupBy("__key").agg(F.count("*").alias("copies"))
-        .join(together.select("__key", "value", "term").distinct(), "__key")
-        .groupBy("value", "term").agg(F.sum("copies").alias("n_pair"))
-    )
+    copies = found.filter("__key is not null").groupBy("__key").agg(F.count("*").alias("copies"))
+    total = float(found.count())
     values = (
         found.filter("__key is not null").select(F.explode(F.array_distinct("near.value")).alias("value"))
-        .groupBy("value").agg(F.count("*").alias("n_value")).join(pairs.select("value").distinct(), "value", "left_semi")
+        .groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") < total)
     )
-    terms = _term_counts(docs, cut_lineage(pairs.select("term").distinct()), key, text)
-    total = float(found.count())
-    share = F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_value") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_value"))
+    pairs = (
+        copies.join(near.join(often, ["value", "term"], "left_semi").select("__key", "value", "term").distinct(), "__key")
+        .groupBy("value", "term").agg(F.sum("copies").alias("n_pair")).join(values, "value")
+    )
+
+    def share(n_term: str) -> Column:
+        return F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_value") * F.col(n_term))) / F.log2(F.lit(total) / F.col("n_value"))
+
+    # A term is in no fewer documents than those that have it near a value; that bound already rules out common words,
+    # so that only few terms are counted over the whole corpus.
+    near_counts = copies.join(near.select("__key", "term").distinct(), "__key").groupBy("term").agg(F.sum("copies").alias("n_near"))
+    possible = cut_lineage(pairs.join(near_counts, "term").filter(share("n_near") >= DISCLOSURE).drop("n_near"))
+    terms = _term_counts(docs, cut_lineage(possible.select("term").distinct()), key, text)
     return (
-        pairs.join(values, "value").join(terms, "term").filter(F.col("n_value") < total)
-        .select("value", "term", share.alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE)
+        possible.join(terms, "term").select("value", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE)
     )
 
 

@@ -20,6 +20,10 @@ _RUN = re.compile(f"[{_WHITE}]{{2}}")
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
 _MARK_BEFORE_STOP = re.compile(r"(?:\W|[_\u0130])[.,][ \n]")
 
+# Characters cut into units at a time; longer texts are cut before a single space.
+PART_CHARS = 1 << 20
+_CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
+
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
 
 
@@ -55,9 +59,6 @@ class UnitEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _units(self, text: str) -> list[str]:
-        lowered = text.lower() if "<" in text else ""
-        if any(token in lowered for token in self.special):
-            return [text]  # special tokens cut texts in ways of their own
         # A comma or full stop that ends a word is a unit of its own, unless no letter or digit stands before it:
         # the tokenizer keeps runs of marks together.
         stops = not _MARK_BEFORE_STOP.search(text)
@@ -77,7 +78,40 @@ class UnitEncoder:
             flat = flat.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
         return flat.split("\0")
 
+    def _parts(self, text: str) -> list[str]:
+        """The text in parts that the tokenizer never joins."""
+        if len(text) <= PART_CHARS:
+            return [text]
+        parts, at = [], 0
+        while cut := _CUT.search(text, at + PART_CHARS):
+            parts.append(text[at : cut.start()])
+            at = cut.start()
+        return [*parts, text[at:]]
+
     def encode(self, batch: list[str]) -> list[bytes]:
+        found, held, size = [], [], 0
+        for text in batch:
+            lowered = text.lower() if "<" in text else ""
+            if any(token in lowered for token in self.special):
+                # Special tokens cut texts in ways of their own.
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                found.append(b"".join(i.to_bytes(4, "little") for i in ids))
+                continue
+            found.append(None)
+            for part in self._parts(text):
+                held.append((len(found) - 1, part))
+                size += len(part)
+                if size >= PART_CHARS:
+                    self._join(found, held)
+                    held, size = [], 0
+        self._join(found, held)
+        return found
+
+    def _join(self, found: list, held: list[tuple[int, str]]) -> None:
+        for (place, _), coded in zip(held, self._encode([part for _, part in held])):
+            found[place] = coded if found[place] is None else found[place] + coded
+
+    def _encode(self, batch: list[str]) -> list[bytes]:
         units = [self._units(text) for text in batch]
         cache, old, unseen = self.cache, self.old, []
         for unit in set().union(*units).difference(cache):
