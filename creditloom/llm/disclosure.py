@@ -167,7 +167,9 @@ def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     )
     free = f"""array_sort(concat(spans, filter(coalesce(terms, cast(array() as array<{_SPAN}>)),
                 t -> not exists(spans, s -> t.start < s.end and s.start < t.end))))"""
-    return found.join(per_text, "__key", "left").select("doc_id", "__key", F.expr(free).alias("spans"))
+    # Texts without a value have no key, and no part in the join.
+    held = found.filter("__key is not null").join(per_text, "__key", "left").select("doc_id", "__key", F.expr(free).alias("spans"))
+    return held.union(found.filter("__key is null").select("doc_id", "__key", "spans"))
 
 
 def _listed(spans: Column) -> Column:
