@@ -40,15 +40,6 @@ def ymd_to_date(text: Column) -> Column:
     return F.try_to_date(F.substring(text, 1, 8), "yyyyMMdd")
 
 
-def month_floor(date: Column) -> Column:
-    return F.trunc(date, "MM")
-
-
-def same_month(left: Column, right: Column) -> Column:
-    """Equality on the month start, so a join gets one hashable key instead of two functions."""
-    return F.trunc(left, "MM") == F.trunc(right, "MM")
-
-
 def opened_bucket(date: Column, monthly_since: int = 2009) -> Column:
     """First observation month after an opening: next month, or next quarter before the monthly era."""
     return F.when(
@@ -84,7 +75,3 @@ def quarter_label(date: Column) -> Column:
         F.lit("_q"),
         F.quarter(inside).cast("string"),
     )
-
-
-def date_number(date: Column) -> Column:
-    return F.unix_date(date)

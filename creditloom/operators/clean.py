@@ -20,11 +20,6 @@ def sentinel_to_null(df: DataFrame, sentinels: Mapping[str, Sequence[int]]) -> D
     )
 
 
-def zero_fill_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Fill numeric NULLs with 0 — all numeric columns by default, text and dates untouched."""
-    return df.fillna(0) if columns is None else df.fillna(0, subset=list(columns))
-
-
 def replace_col(df: DataFrame, name: str, adjusted: str, raw_name: str) -> DataFrame:
     """Keep the reported column under ``raw_name`` and give its name to the adjusted one."""
     return df.withColumnsRenamed({name: raw_name, adjusted: name})

@@ -48,10 +48,26 @@ def left_attach(
     return joined.select(*df.columns, *extra)
 
 
-def checked_broadcast(lookup: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a lookup after checking its size; a larger one goes through an ordinary join."""
-    small = lookup.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(lookup) if small else lookup
+# A broadcast table is held in full by the driver and every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def checked_broadcast(
+    lookup: DataFrame, max_rows: int = 1_000_000, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Broadcast a lookup whose rows and bytes are measured; a larger one goes through an ordinary join.
+
+    Measuring runs the lookup once, so pass a materialised one.
+    """
+    texts = [f.name for f in lookup.schema.fields if f.dataType.simpleString() == "string"]
+    fixed = sum(16 for f in lookup.schema.fields)
+    width = reduce(
+        lambda a, b: a + b,
+        [F.coalesce(F.octet_length(t).cast("long"), F.lit(0)) for t in texts],
+        F.lit(fixed).cast("long"),
+    )
+    rows, size = lookup.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(lookup) if rows <= max_rows and size <= max_bytes else lookup
 
 
 def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
@@ -62,9 +78,12 @@ def enrich(df: DataFrame, dimension: DataFrame, on: Sequence[str], how: str = "l
 def translate_key(
     df: DataFrame, mapping: DataFrame, key: str, target: str, repeats: str
 ) -> DataFrame:
-    """Map a key through the unambiguous part of a lookup table."""
+    """Map a key through the unambiguous part of a lookup table.
+
+    No broadcast hint: AQE broadcasts the lookup if its measured bytes are few, and joins otherwise.
+    """
     unique = mapping.where(F.col(repeats) < 2).select(key, target)
-    return left_attach(df, checked_broadcast(unique), [key], spread_nulls=True)
+    return left_attach(df, unique, [key], spread_nulls=True)
 
 
 def join_same_month(

@@ -23,7 +23,8 @@ def assign_groups(
     min_km: float = 100.0,
 ) -> DataFrame:
     """treated by region pattern; control by province and distance from the treated area."""
-    is_control = F.col(province).isin(*control_provinces) & (F.col(distance) >= min_km)
+    # Provinces are searched for: reported values may hold more than the code.
+    is_control = F.col(province).rlike("|".join(control_provinces)) & (F.col(distance) >= min_km)
     return df.withColumns(
         {
             "treated": F.when(F.col(region).rlike(treated_regions), 1).otherwise(0),
@@ -42,49 +43,65 @@ def group_label(df: DataFrame, region: str, label: str) -> DataFrame:
 
 
 class PanelMeasures:
-    """Group measures that need one row per consumer first.
+    """Sums, means and distinct consumers per group, all combined before their shuffle.
 
-    COUNT(DISTINCT consumer) over all rows and over a subset would make Spark expand every row.
-    Aggregating to (group, consumer) and then to the group counts exactly with two ordinary
-    aggregations.  The first spreads a dominant region over its consumers, and the second
-    combines before its shuffle, so no region ends up in one task.
+    Sums and means go straight to the group: what is shuffled is one row per group and task, never
+    the wide consumer rows.  Only the distinct counts need the consumer, and take (group, consumer,
+    subset flags) alone through two ordinary aggregations; the first spreads a dominant region over
+    its consumers.  The two group-sized results are joined.
     """
 
     def __init__(self, consumer: str):
         self.consumer = consumer
-        self._rows: dict[str, Column] = {}
-        self._final: dict[str, Column] = {}
-
-    def _partial(self, name: str, column: Column) -> str:
-        self._rows[f"__{name}"] = column
-        return f"__{name}"
+        self._direct: dict[str, Column] = {}
+        self._subsets: dict[str, Column | None] = {}
+        self._order: list[str] = []
 
     def distinct(self, name: str, subset: Column | None = None) -> None:
-        if subset is None:
-            self._final[name] = F.count(self.consumer)
-            return
-        part = self._partial(name, F.max(F.when(subset, 1).otherwise(0)))
-        self._final[name] = F.count(F.when(F.col(part) == 1, F.col(self.consumer)))
+        self._subsets[name] = subset
+        self._order.append(name)
 
     def total(self, name: str, value: Column, subset: Column | None = None, scale=None) -> None:
-        value = value if subset is None else F.when(subset, value)
-        total = F.sum(self._partial(name, F.sum(value)))
-        self._final[name] = total if scale is None else scale(total)
+        total = F.sum(value if subset is None else F.when(subset, value))
+        self._direct[name] = total if scale is None else scale(total)
+        self._order.append(name)
 
     def mean(self, name: str, value: Column, subset: Column | None = None) -> None:
         value = value if subset is None else F.when(subset, value)
-        total = F.sum(self._partial(f"{name}_s", F.sum(value)))
-        count = F.sum(self._partial(f"{name}_n", F.count(value)))
-        self._final[name] = credit.ratio(total, count)
+        self._direct[name] = credit.ratio(F.sum(value), F.count(value))
+        self._order.append(name)
+
+    def _distinct_counts(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+        flags = {
+            f"__{name}": F.when(subset, 1).otherwise(0)
+            for name, subset in self._subsets.items()
+            if subset is not None
+        }
+        narrow = df.select(*keys, self.consumer, *[f.alias(n) for n, f in flags.items()])
+        if flags:
+            per_consumer = narrow.groupBy(*keys, self.consumer).agg(*[F.max(n).alias(n) for n in flags])
+        else:
+            per_consumer = narrow.distinct()
+        who = F.col(self.consumer)
+        counts = [
+            F.count(who if subset is None else F.when(F.col(f"__{name}") == 1, who)).alias(name)
+            for name, subset in self._subsets.items()
+        ]
+        return per_consumer.groupBy(*keys).agg(*counts)
 
     def apply(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        partials = [column.alias(name) for name, column in self._rows.items()]
-        if partials:
-            per_consumer = df.groupBy(*keys, self.consumer).agg(*partials)
-        else:
-            per_consumer = df.select(*keys, self.consumer).distinct()
-        return per_consumer.groupBy(*keys).agg(
-            *[column.alias(name) for name, column in self._final.items()]
+        direct = [column.alias(name) for name, column in self._direct.items()]
+        if not self._subsets:
+            return df.groupBy(*keys).agg(*direct)
+        counts = self._distinct_counts(df, keys)
+        if not direct:
+            return counts
+        sums, a, b = df.groupBy(*keys).agg(*direct), "__a", "__b"
+        # A group may have NULL in its key, so the comparison is null-safe.
+        same = [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
+        return sums.alias(a).join(counts.alias(b), same).select(
+            *[F.col(f"{a}.{k}") for k in keys],
+            *[F.col(f"{b if n in self._subsets else a}.{n}") for n in self._order],
         )
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditloom.functions.dates import MONTH, Step
-from creditloom.operators.joins import left_attach
 
 
 def unit_ids(df: DataFrame, name: str, id_name: str = "unit_id", prefix: int = 2) -> DataFrame:
@@ -47,10 +46,16 @@ def donor_pool(units: DataFrame, name: str, excluded: DataFrame) -> DataFrame:
 
 
 def sample_entities(df: DataFrame, id_col: str, fraction: float, seed: int) -> DataFrame:
-    """All rows of a fixed share of ids.  The choice hashes the id, so it does not depend on layout."""
-    million = 1_000_000
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(million))
-    return df.where(draw < int(round(fraction * million)))
+    """All rows of a fixed share of ids.
+
+    The draw is the first eight hex digits of md5("id-seed"), so it depends neither on the layout
+    nor on the engine.  A NULL id is in no sample, unless the sample is everything.
+    """
+    digest = F.md5(F.concat_ws("-", F.col(id_col).cast("string"), F.lit(str(seed))))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    if fraction >= 1:
+        return df
+    return df.where(F.col(id_col).isNotNull() & (draw < int(round(fraction * 2**32))))
 
 
 def cohort_extract(
@@ -106,12 +111,6 @@ def spells(df: DataFrame, id_col: str, date: str, step: Step = MONTH) -> DataFra
     )
 
 
-def with_group_extremes(df: DataFrame, keys: Sequence[str], **extremes: Column) -> DataFrame:
-    """Group maxima or minima on every row, by an aggregation that combines before its shuffle."""
-    facts = df.groupBy(*keys).agg(*[c.alias(n) for n, c in extremes.items()])
-    return left_attach(df, facts, keys)
-
-
 def index_to_base(
     df: DataFrame, group: Sequence[str], date: str, base, measures: Sequence[str], suffix: str = "_norm"
 ) -> DataFrame:

@@ -28,18 +28,19 @@ def prev_period_status(
 ) -> DataFrame:
     """Add new_file, terminal and chargoff_new, and drop accounts already paid before.
 
-    The previous period is the lagged row if it is adjacent: one scan and one shuffle, where a self
-    join does both twice.  Histories are cut into blocks of BLOCK periods, and the last period of a
+    The previous period is a window frame of exactly that period: one scan and one shuffle, where a
+    self join does both twice.  Like the join, it gives a row per match, so repeated (id, period)
+    rows lose nothing.  Histories are cut into blocks of BLOCK periods, and the last period of a
     block is copied ahead of the next one, so that even a very long history of one account is
-    spread over tasks.  (id, period) is unique in the input.
+    spread over tasks.
     """
-    lag = {
-        "__last_date": F.col(date),
-        "__last_bal": F.col(balance),
-        "__last_chg": F.col(charged),
-        "__last_closed": F.col(closed_flag),
-        "__last_type": F.col(account_type) if account_type else F.lit(None).cast("string"),
-    }
+    last = F.struct(
+        F.col(date).alias("date"),
+        F.col(balance).alias("bal"),
+        F.col(charged).alias("chg"),
+        F.col(closed_flag).alias("closed"),
+        (F.col(account_type) if account_type else F.lit(None).cast("string")).alias("type"),
+    )
     period = step.index(F.col(date))
     closes_block = F.pmod(period, F.lit(BLOCK)) == BLOCK - 1
     copies = F.when(closes_block, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
@@ -48,12 +49,15 @@ def prev_period_status(
         # A row without an id has no past; its hash keeps such rows from sharing one group.
         F.when(F.col(id_col).isNull(), F.xxhash64(*df.columns)).otherwise(0).alias("__salt"),
         F.explode(copies).alias("__copy"),
-    ).withColumn("__block", F.floor((period + F.col("__copy")) / BLOCK))
-    history = Window.partitionBy(id_col, "__block", "__salt").orderBy(date)
-    joined = blocked.withColumns(
-        {name: F.lag(value).over(history) for name, value in lag.items()}
-    ).where(F.col("__copy") == 0)
-    adjacent = F.coalesce(F.col("__last_date") == step.shift(F.col(date), -1), F.lit(False))
+    ).withColumns({"__block": F.floor((period + F.col("__copy")) / BLOCK), "__period": period})
+    before = Window.partitionBy(id_col, "__block", "__salt").orderBy("__period").rangeBetween(-1, -1)
+    matches = F.filter("__matches", lambda m: m["date"] == step.shift(F.col(date), -1))
+    joined = (
+        blocked.withColumn("__matches", F.collect_list(last).over(before))
+        .where(F.col("__copy") == 0)
+        .withColumn("__last", F.explode_outer(matches))
+    )
+    adjacent = F.col("__last").isNotNull()
 
     bal, chg = F.col(balance), F.col(charged)
     instalment = F.col(account_type).isin("M", "I") if account_type else F.lit(False)
@@ -72,12 +76,12 @@ def prev_period_status(
         .otherwise("N")
     )
     # Unknown last status (first appearance) does not count as a transition.
-    was_written_off = (F.col("__last_bal") > 0) & (F.col("__last_chg") >= F.col("__last_bal"))
+    was_written_off = (F.col("__last.bal") > 0) & (F.col("__last.chg") >= F.col("__last.bal"))
     chargoff_new = F.when(adjacent & ~was_written_off & written_off, chg).otherwise(0)
 
-    was_instalment = F.col("__last_type").isin("M", "I") if account_type else F.lit(False)
-    paid_before = ((F.col("__last_bal") == 0) & (bal == 0)) & (
-        (F.col("__last_closed") == "Y") | was_instalment
+    was_instalment = F.col("__last.type").isin("M", "I") if account_type else F.lit(False)
+    paid_before = ((F.col("__last.bal") == 0) & (bal == 0)) & (
+        (F.col("__last.closed") == "Y") | was_instalment
     )
     out = joined.withColumns(
         {

@@ -33,10 +33,16 @@ class ScmSpec:
 
     def backdate(self, t0: dt.date, last_quarter: str) -> "ScmSpec":
         """The same study as if treatment had started earlier."""
-        kept = tuple(q for q in self.quarters if q <= last_quarter)
+        kept = tuple(q for q in self.quarters if quarter_order(q) <= quarter_order(last_quarter))
         return replace(self, t0=t0, quarters=kept)
 
 
+def quarter_order(label: str) -> tuple[int, int]:
+    """Year and quarter of a label such as yr99_q4; two-digit years from 50 on are of the 1900s."""
+    year, quarter = label.removeprefix("yr").split("_q")
+    return int(year) + (1900 if int(year) >= 50 else 2000), int(quarter)
+
+
 def event_window(df: DataFrame, date: str, spec: ScmSpec, pre: str = "pre") -> DataFrame:
     """Rows of the event window with a flag for the pre-treatment part."""
     inside = df.where(F.col(date).between(*[F.lit(d) for d in spec.window]))
@@ -83,12 +89,34 @@ def complete_units(
 ) -> DataFrame:
     """(variant, unit) of units observed in every period and predictor of their variant.
 
-    One unit with a hole would make every fit fail that has it as a donor.
+    One unit with a hole would make every fit fail that has it as a donor.  ``incomplete_units`` names
+    the others.
     """
+    missing = F.col("missing_periods") + F.col("missing_predictors")
+    return unit_holes(predictor_rows, outcome_rows, unit, date).where(missing == 0).select(VARIANT, unit)
+
+
+def incomplete_units(
+    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id", date: str = "run_date"
+) -> DataFrame:
+    """(variant, unit, missing_periods, missing_predictors) of the units that cannot be fitted."""
+    missing = F.col("missing_periods") + F.col("missing_predictors")
+    return unit_holes(predictor_rows, outcome_rows, unit, date).where(missing > 0)
+
+
+def unit_holes(
+    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id", date: str = "run_date"
+) -> DataFrame:
+    """How many periods and predictors of its variant each unit lacks."""
     seen = (
         outcome_rows.groupBy(VARIANT, unit)
         .agg(F.count("y").alias("__ny"))
-        .join(predictor_rows.groupBy(VARIANT, unit).agg(F.count("value").alias("__nx")), [VARIANT, unit])
+        .join(
+            predictor_rows.groupBy(VARIANT, unit).agg(F.count("value").alias("__nx")),
+            [VARIANT, unit],
+            "full",
+        )
+        .fillna(0, subset=["__ny", "__nx"])
     )
     # A period or predictor exists in a variant once any of its units has it.
     full = (
@@ -96,10 +124,11 @@ def complete_units(
         .agg(F.countDistinct(date).alias("__fy"))
         .join(predictor_rows.groupBy(VARIANT).agg(F.countDistinct("predictor").alias("__fx")), VARIANT)
     )
-    return (
-        seen.join(full, VARIANT)
-        .where((F.col("__ny") == F.col("__fy")) & (F.col("__nx") == F.col("__fx")))
-        .select(VARIANT, unit)
+    return seen.join(full, VARIANT).select(
+        VARIANT,
+        unit,
+        (F.col("__fy") - F.col("__ny")).alias("missing_periods"),
+        (F.col("__fx") - F.col("__nx")).alias("missing_predictors"),
     )
 
 
@@ -292,11 +321,15 @@ def paths(
 
 
 def rmspe_ratio(gaps: DataFrame, unit: str = "unit_id") -> DataFrame:
-    """Mean squared gap after treatment over the one before, per unit."""
+    """Mean squared gap after treatment over the one before, per unit.
+
+    A perfect fit before treatment gives infinity, as extreme as can be; without any gap, NULL.
+    """
     square = F.col("gap") * F.col("gap")
     post = F.avg(F.when(F.col("pre") == 0, square))
     before = F.avg(F.when(F.col("pre") == 1, square))
-    return gaps.groupBy(VARIANT, unit).agg(F.try_divide(post, before).alias("ts"))
+    ratio = F.when((before == 0) & (post > 0), F.lit(float("inf"))).otherwise(F.try_divide(post, before))
+    return gaps.groupBy(VARIANT, unit).agg(ratio.alias("ts"))
 
 
 def placebo_pvalue(
@@ -305,7 +338,8 @@ def placebo_pvalue(
     """Probability that a unit drawn with odds exp(phi · v) is at least as extreme as the treated one.
 
     Average ranks keep the order of the statistics, so comparing the statistics is enough.  A
-    window group holds one statistic per unit.
+    window group holds one statistic per unit.  Without a statistic of the treated unit there is
+    nothing to compare: p-value and decision are NULL, and the status says so.
     """
     odds = F.exp(F.lit(phi) * (F.lit(0) if v is None else v).cast("double"))
     # The treated statistic comes from the same rows, so that it ties with itself to the last bit.
@@ -314,10 +348,12 @@ def placebo_pvalue(
     extreme = F.when(F.col("ts") >= F.col("__own"), F.col("__odds")).otherwise(0.0)
     n = F.count(F.lit(1))
     level = F.ceil(F.lit(0.05) * n) / n
-    p = F.sum(extreme) / F.sum("__odds")
+    known = F.max("__own").isNotNull()
+    p = F.when(known, F.sum(extreme) / F.sum("__odds"))
     return rows.groupBy(VARIANT).agg(
         n.alias("n_unit"), p.alias("pvalue"), level.alias("alpha"),
-        F.when(p <= level, 1).otherwise(0).alias("reject"),
+        F.when(known, F.when(p <= level, 1).otherwise(0)).alias("reject"),
+        F.when(known, "found").otherwise("no treated unit").alias("status"),
     )
 
 
@@ -380,8 +416,8 @@ def conf_set(
     v: Column | None = None, unit: str = "unit_id", significance: float | None = None,
 ) -> DataFrame:
     """Bounds of the confidence set by test inversion; a group holds four numbers per unit."""
-    if precision < 0 or phi < 0 or family not in FAMILIES:
-        raise ValueError("precision and phi must not be negative; family must be known")
+    if precision != int(precision) or precision < 0 or phi < 0 or family not in FAMILIES:
+        raise ValueError("precision must be a whole number, precision and phi must not be negative; family must be known")
     if significance is not None and not 0 < significance < 1:
         raise ValueError("significance must lie between 0 and 1")
     rows = coefs.withColumn("v", (F.lit(0) if v is None else v).cast("double"))

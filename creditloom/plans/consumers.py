@@ -64,7 +64,7 @@ def consumer_panel(
         credit.band(c("cvsc100"), credit.CREDIT_SCORE_CUTS).alias("cvsc100_tier"),
         c("go91").alias("deceased"),
     )
-    members = base.where(c("prov").isin(*study.provinces)).select("tu_consumer_id").distinct()
+    members = base.where(c("prov").rlike("|".join(study.provinces))).select("tu_consumer_id").distinct()
     alive = joins.keep_ever(base.where(c("deceased") == "N"), "tu_consumer_id", members)
     adjusted = joins.address_override(
         materialise(alive.drop("deceased")),

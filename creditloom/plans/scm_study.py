@@ -126,6 +126,7 @@ def placebo_study(
     )
     gaps = materialise(synthetic.paths(y, weights))
     out = {
+        "incomplete": synthetic.incomplete_units(x, y),
         "fits": fitted,
         "weights": weights,
         "predictor_weights": synthetic.predictor_weights(fitted),

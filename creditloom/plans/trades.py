@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -76,16 +78,26 @@ def heloc_ids(derived: DataFrame) -> DataFrame:
     )
 
 
-def sampled_rows(
-    accounts: DataFrame, panel: DataFrame, product: str, study: Study = STUDY
-) -> DataFrame:
-    """Rows of one family for sampled consumers, with one month of context before the start."""
+def sample_accounts(accounts: DataFrame, panel: DataFrame, study: Study = STUDY) -> DataFrame:
+    """Account rows of all families for sampled consumers, with one month of context before the start.
+
+    One scan and one semi join for everything that follows; written once, the families prune it.
+    """
     first = MONTH.shift(F.lit(study.accounts_start), -1)
-    rows = read_accounts(accounts, product).where(F.col("run_date") >= first)
+    families = [clean.product_filter("LC" if f == "HELOC" else f) for f in PREFIX]
+    rows = accounts.where(reduce(or_, families) & (F.col("run_date") >= first))
     return joins.keep_ever(rows, "tu_consumer_id", panel.select("tu_consumer_id").distinct())
 
 
-def line_ids(accounts: DataFrame, panel: DataFrame, study: Study = STUDY) -> DataFrame:
+def sampled_rows(
+    accounts: DataFrame, panel: DataFrame | None, product: str, study: Study = STUDY
+) -> DataFrame:
+    """Rows of one family for sampled consumers; without a panel, ``accounts`` are sampled already."""
+    rows = accounts if panel is None else sample_accounts(accounts, panel, study)
+    return read_accounts(rows, product)
+
+
+def line_ids(accounts: DataFrame, panel: DataFrame | None, study: Study = STUDY) -> DataFrame:
     """Home-equity lines among the sampled consumers' lines of credit."""
     return heloc_ids(derive_amounts(sampled_rows(accounts, panel, "HELOC", study)))
 
@@ -102,7 +114,7 @@ def add_product_category(df: DataFrame, lines: DataFrame) -> DataFrame:
 
 def clean_accounts(
     accounts: DataFrame,
-    panel: DataFrame,
+    panel: DataFrame | None,
     product: str,
     study: Study = STUDY,
     lines: DataFrame | None = None,
@@ -209,11 +221,12 @@ def all_consumer_loans(
     share the cluster instead of leaving it idle at the end of each stage.
     """
 
+    sampled = materialise(sample_accounts(accounts, panel, study))
     # Both the line family and the other loans need to know which lines are home-equity lines.
-    lines = materialise(line_ids(accounts, panel, study))
+    lines = materialise(line_ids(sampled, None, study))
 
     def one(product: str) -> DataFrame:
-        cleaned = clean_accounts(accounts, panel, product, study, lines, materialise)
+        cleaned = clean_accounts(sampled, None, product, study, lines, materialise)
         adjusted = time_adjust(cleaned, panel, product, study, materialise)
         return materialise(consumer_loans(adjusted, product))
 

@@ -41,7 +41,7 @@ def save(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
 
 def save_csv_single(df: DataFrame, path: str) -> None:
     """One CSV file with a header.  For region-level results only: their size does not follow the data."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    df.repartition(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_region_panel(spark: SparkSession, path: str, schema: StructType) -> DataFrame:

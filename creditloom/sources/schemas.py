@@ -34,20 +34,6 @@ POSTAL_GEOGRAPHY = _struct(pstlcode=_text, province=_text, latitude=_real, longi
 KEY_MAPPING = _struct(encrypted_ldu=_text, ldu=_text, n_repeat=_int)
 DAMAGED_SITES = _struct(postal_code=_text, fsa=_text, ldu=_text, community=_text)
 
-REGION_PANEL = _struct(
-    run_date=_date, treated=_int, fm_damage=_int, fsa=_text,
-    n_ml_ins=_long, ml_bal_ins=_real, heloc_bal=_real, res_bal=_real, cl_bal=_real, bc_bal=_real,
-    bc_bal_arr=_real, bc_use=_real, n_bc_use_60_80=_long, n_bc_use_80_plus=_long, cr_score=_real,
-    n_nearprime=_long, n_subprime=_long,
-    n_active=_long, cr_score_fsa=_real, n_nearprime_fsa=_long, n_subprime_fsa=_long,
-    ml_bal_tot=_real, ml_bal_arr_tot=_real, ml_chargoff_new_tot=_real, ml_bal_ins_tot=_real,
-    ml_bal_arr_ins_tot=_real, ml_chargoff_new_ins_tot=_real, heloc_bal_tot=_real,
-    heloc_bal_arr_tot=_real, heloc_chargoff_new_tot=_real, bc_bal_fsa=_real, bc_use_fsa=_real,
-    n_bc_use_60_80_fsa=_long, n_bc_use_80_plus_fsa=_long, bc_bal_tot=_real, bc_bal_arr_tot=_real,
-    bc_chargoff_new_tot=_real, other_bal_tot=_real, other_bal_arr_tot=_real,
-    other_chargoff_new_tot=_real,
-)
-
 
 def require(df: DataFrame, schema: StructType) -> DataFrame:
     """Project to the declared columns, failing on a missing column or a different type."""

@@ -222,3 +222,24 @@ def test_first_location_skips_incomplete_addresses(frame):
     )
     out = ratings.attach_first_location(df, "id", "d", ["a", "b"], ["a", "b"], "_o")
     assert {(r.id, r.a_o, r.b_o) for r in out.collect()} == {(1, "y", "u"), (2, None, None)}
+
+
+def test_repeated_account_months_give_a_row_per_match(spark):
+    rows = [
+        (1, dt.date(2015, 1, 1), 50, 0, "N", "R", None, 1), (1, dt.date(2015, 1, 1), 60, 70, "N", "R", None, 2),
+        (1, dt.date(2015, 2, 1), 60, 70, "N", "R", None, 3), (2, dt.date(2015, 2, 1), 10, 0, "N", "R", None, 4),
+    ]
+    out = run_status(spark.createDataFrame(rows, SCHEMA)).where("d = DATE '2015-02-01'").collect()
+    found = sorted((r.id, r.new_file, r.chargoff_new) for r in out)
+    assert found == [(1, "exist", 0), (1, "exist", 70), (2, "legacy", 0)]
+
+
+def test_provinces_are_searched_for(frame):
+    from creditloom.operators import region
+
+    df = frame(
+        "fsa string, prov string, km double",
+        ("T9H", "AB", 0.0), ("A1A", "AB ", 200.0), ("A1B", "SASK", 200.0), ("A1C", "ON", 200.0), ("A1D", "AB", 50.0), ("A1E", None, 200.0),
+    )
+    out = region.keep_study_units(region.assign_groups(df, "fsa", "T9[HJK]", "prov", ["AB", "SK"], "km"))
+    assert sorted(r.fsa for r in out.collect()) == ["A1A", "A1B", "T9H"]

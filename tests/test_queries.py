@@ -27,12 +27,12 @@ STAGES = ("pipe_trade_clean", "pipe_time_adjust_", "pipe_consumer_loans", "pipe_
 @pytest.mark.parametrize("name", sorted(n for n in registry.ORACLES if not n.startswith(STAGES)))
 def test_query_equals_sql(spark, con, name):
     verdict = compare(spark, con, name, SF_DIR)
-    assert verdict.startswith(("equal", "EMPTY", "~9")), verdict
+    assert verdict.startswith(("equal", "~9")), verdict
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF_DIR).schema is not None
+    assert registry.QUERIES[name](spark, SF_DIR).collect()
 
 
 def test_entry_contract(spark):

@@ -202,3 +202,31 @@ def test_arguments_are_checked(spark):
 def test_empty_confidence_set_is_reported():
     pdf = pd.DataFrame({"a": [9.0, 1.0, 1.0], "b": [0.0] * 3, "k": [0.0] * 3, "pre_ms": [1.0] * 3, "start": [0.0] * 3, "v": [0.0] * 3})
     assert simplex.invert_test(pdf, np.array([True, False, False]), "uniform", 3, 0.0, None)[2] == "empty"
+
+
+def test_a_study_without_its_treated_unit_is_not_significant(spark):
+    stats = spark.createDataFrame([("v", 2, 5.0), ("v", 3, 1.0), ("w", 1, None), ("w", 2, 4.0)], "variant string, unit_id int, ts double")
+    for row in synthetic.placebo_pvalue(stats, 1).collect():
+        assert (row.pvalue, row.reject, row.status) == (None, None, "no treated unit")
+    pdf = pd.DataFrame({k: [1.0, 2.0] for k in ("a", "b", "k", "pre_ms", "start")} | {"v": [0.0, 0.0]})
+    assert simplex.invert_test(pdf, np.array([False, False]), "uniform", 3, 0.0, None)[2] == "no treated unit"
+
+
+def test_a_perfect_fit_before_treatment_is_as_extreme_as_can_be(spark):
+    rows = [("v", u, pre, gap) for u, pre, gap in ((1, 1, 1.0), (1, 0, 9.0), (2, 1, 0.0), (2, 0, 1.0), (3, 1, 0.0), (3, 0, 0.0))]
+    stats = synthetic.rmspe_ratio(spark.createDataFrame(rows, "variant string, unit_id int, pre int, gap double"))
+    assert {r.unit_id: r.ts for r in stats.collect()} == {1: 81.0, 2: float("inf"), 3: None}
+    assert synthetic.placebo_pvalue(stats, 1).first().pvalue == pytest.approx(2 / 3)
+
+
+def test_units_with_holes_are_named(spark):
+    rows = planted(spark, hole=True)
+    x, y = synthetic.predictors(rows, SPEC), synthetic.outcomes(rows, SPEC)
+    found = synthetic.incomplete_units(x, y).collect()
+    assert [(r.unit_id, r.missing_periods, r.missing_predictors) for r in found] == [(8, 1, 0)]
+    assert synthetic.complete_units(x, y).count() == 7
+
+
+def test_quarters_are_ordered_across_the_century():
+    spec = ScmSpec("y", "z", (), ("yr98_q4", "yr99_q4", "yr00_q1", "yr01_q2"), (dt.date(1998, 1, 1), dt.date(2002, 1, 1)), dt.date(2001, 1, 1))
+    assert spec.backdate(dt.date(2000, 1, 1), "yr99_q4").quarters == ("yr98_q4", "yr99_q4")

@@ -48,7 +48,7 @@ crc_typed AS (
     nullif(as115, 0) AS as115, CASE WHEN cvsc100 IN (0, -8) THEN NULL ELSE cvsc100 END AS cvsc100
   FROM {{bureau_consumer}} AS b LEFT JOIN letters AS l ON l.letter = substr(b.fsa, 1, 1)),
 crc_alive AS (
-  SELECT * FROM crc_typed WHERE go91 = 'N' AND tu_consumer_id IN (SELECT tu_consumer_id FROM crc_typed WHERE prov IN ('AB', 'SK'))),
+  SELECT * FROM crc_typed WHERE go91 = 'N' AND tu_consumer_id IN (SELECT tu_consumer_id FROM crc_typed WHERE regexp_matches(prov, 'AB|SK'))),
 crc_cohort AS (SELECT * FROM crc_alive WHERE run_date = DATE '2016-05-01' AND {IN_AREA.format('fsa')}),
 crc_moved AS (
   SELECT a.tu_consumer_id, a.run_date, a.fsa AS fsa_reported, a.encrypted_ldu AS encrypted_ldu_reported, a.age, a.prov,
@@ -326,4 +326,4 @@ df_all AS (
   LEFT JOIN bc_ind {on.format('bc_ind')} LEFT JOIN other_ind {on.format('other_ind')}),
 df_ind AS (
   SELECT *, CAST({IN_AREA.format('fsa')} AS INT) AS treated FROM df_all
-  WHERE {IN_AREA.format('fsa')} OR (prov IN ('AB', 'SK') AND distance_min >= 100))"""
+  WHERE {IN_AREA.format('fsa')} OR (regexp_matches(prov, 'AB|SK') AND distance_min >= 100))"""

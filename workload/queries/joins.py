@@ -117,12 +117,12 @@ def key_translate(inp):
     "same_month_join",
     """
     SELECT tu_consumer_id, run_date, n_ml, o_orderkey FROM {consumer_month} AS cm
-    LEFT JOIN (SELECT * FROM {orders} WHERE o_orderstatus <> 'P') AS o ON o_custkey = tu_consumer_id
+    LEFT JOIN {orders} AS o ON o_custkey = tu_consumer_id
       AND year(run_date) = year(o_orderdate) AND month(run_date) = month(o_orderdate)
     """,
 )
 def same_month_join(inp):
-    facts = inp("orders").where(c("o_orderstatus") != "P").select(
+    facts = inp("orders").select(
         c("o_custkey").alias("tu_consumer_id"), c("o_orderdate").cast("date").alias("day"), "o_orderkey"
     )
     panel = inp("consumer_month").select("tu_consumer_id", "run_date", "n_ml")
@@ -131,11 +131,13 @@ def same_month_join(inp):
 
 CARDS = """
 SELECT tu_consumer_id, run_date, CASE WHEN tu_consumer_id % 8 = 0 THEN NULL ELSE fsa END AS fsa, 'card' AS src, ml_bal
-FROM {consumer_month} AS cm WHERE n_ml = 1
+FROM {consumer_month} AS cm
 """
+# Two thirds of the lines are a month late, so that both sides have rows without a match.
 LINES = """
-SELECT tu_consumer_id, run_date, CASE WHEN tu_consumer_id % 8 = 0 THEN NULL ELSE fsa END AS fsa, 'line' AS src, ml_bal_arr AS heloc_bal
-FROM {consumer_month} AS cm WHERE tu_consumer_id % 3 = 0
+SELECT tu_consumer_id, CASE WHEN tu_consumer_id % 3 = 0 THEN run_date ELSE CAST(run_date + INTERVAL 1 MONTH AS DATE) END AS run_date,
+  CASE WHEN tu_consumer_id % 8 = 0 THEN NULL ELSE fsa END AS fsa, 'line' AS src, ml_bal_arr AS heloc_bal
+FROM {consumer_month} AS cm
 """
 
 

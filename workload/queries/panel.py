@@ -10,7 +10,7 @@ from creditloom.functions.dates import DAY, quarter_label
 from creditloom.operators import asof, quality, ratings, reshape, tenure
 from creditloom.session import cut_lineage
 from workload.queries.scans import STATUS_OUT, day_status, status_ctes, trade_days
-from workload.registry import as_double, query, r
+from workload.registry import as_double, as_money, query, r
 
 c = F.col
 D = dt.date
@@ -24,6 +24,22 @@ def prev_period_status(inp):
     return as_double(day_status(trade_days(inp)).select(*STATUS_OUT), "chargoff_new")
 
 
+TWICE = """twice AS (
+  SELECT * FROM {trade_day} AS t UNION ALL
+  SELECT * REPLACE (chargoff_amt + 1 AS chargoff_amt) FROM {trade_day} AS u WHERE mop = '4')"""
+
+
+@query(
+    "prev_period_duplicates",
+    f"WITH {TWICE}, {status_ctes('twice')} SELECT {', '.join(STATUS_OUT)} FROM status",
+)
+def prev_period_duplicates(inp):
+    """Repeated (account, period) rows: one row per match, as a join gives."""
+    again = inp("trade_day").where(c("mop") == "4").withColumn("chargoff_amt", c("chargoff_amt") + 1)
+    rows = as_money(inp("trade_day").union(again), "current_balance", "chargoff_amt")
+    return as_double(day_status(rows).select(*STATUS_OUT), "chargoff_new")
+
+
 REFS = """refs AS (
   SELECT trade_id, reported_date + 1 AS ref_date FROM {src} AS a UNION SELECT trade_id, run_date FROM {src} AS b)"""
 LATEST = """latest AS (
@@ -298,7 +314,13 @@ def donor_pool(inp):
     return reshape.donor_pool(units, "fsa", units.where(c("n_regionkey") == 3))
 
 
-@query("entity_sample")
+@query(
+    "entity_sample",
+    f"""
+    SELECT trade_id, COUNT(*) AS n FROM {{trade_day}} AS t
+    WHERE CAST('0x' || substr(md5(CAST(trade_id AS VARCHAR) || '-1983'), 1, 8) AS BIGINT) < {2**30} GROUP BY trade_id
+    """,
+)
 def entity_sample(inp):
     sampled = reshape.sample_entities(inp("trade_day"), "trade_id", 0.25, 1983)
     return sampled.groupBy("trade_id").agg(F.count(F.lit(1)).alias("n"))

@@ -174,7 +174,7 @@ _TOTALS = ", ".join(
 )
 _WINDOW = "BETWEEN DATE '2014-02-01' AND DATE '2018-01-01'"
 _STUDY = (
-    f"({sql.IN_AREA.format('fsa')} OR (prov IN ('AB', 'SK') AND distance_min >= 100))"
+    f"({sql.IN_AREA.format('fsa')} OR (regexp_matches(prov, 'AB|SK') AND distance_min >= 100))"
 )
 _LABEL = f"CASE WHEN {sql.IN_AREA.format('fsa')} THEN 'T9(H|J|K)' ELSE fsa END"
 ORIGIN_CTES = f"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -157,14 +158,54 @@ def pvalue_sql(odds: str) -> str:
 @query("scm_placebo_pvalue", pvalue_sql("CAST(1 AS DOUBLE)"))
 def scm_placebo_pvalue(inp):
     stats = synthetic.rmspe_ratio(uniform_gaps(inp)[1])
-    return rounded(synthetic.placebo_pvalue(stats, TREATED), "pvalue", "alpha", digits=9)
+    return rounded(synthetic.placebo_pvalue(stats, TREATED).drop("status"), "pvalue", "alpha", digits=9)
 
 
 @query("scm_sensitivity", pvalue_sql("exp(CAST(0.7 AS DOUBLE) * (unit_id % 2))"))
 def scm_sensitivity(inp):
     stats = synthetic.rmspe_ratio(uniform_gaps(inp)[1])
     out = synthetic.placebo_pvalue(stats, TREATED, phi=0.7, v=c("unit_id") % 2)
-    return rounded(out, "pvalue", "alpha", digits=9)
+    return rounded(out.drop("status"), "pvalue", "alpha", digits=9)
+
+
+@query(
+    "scm_missing_treated",
+    """
+    SELECT 'all' AS variant, COUNT(DISTINCT unit_id) AS n_unit, CAST(NULL AS DOUBLE) AS pvalue,
+      round(ceil(0.05 * COUNT(DISTINCT unit_id)) / COUNT(DISTINCT unit_id), 9) AS alpha,
+      CAST(NULL AS INT) AS reject, 'no treated unit' AS status
+    FROM {fsa_quarter} AS f WHERE run_date BETWEEN DATE '1996-01-01' AND DATE '2001-07-01'
+    """,
+)
+def scm_missing_treated(inp):
+    """A unit that is in no panel has no significance."""
+    stats = synthetic.rmspe_ratio(uniform_gaps(inp)[1])
+    return rounded(synthetic.placebo_pvalue(stats, -1), "pvalue", "alpha", digits=9)
+
+
+HOLES = f"""{PREDICTORS},
+thin AS (SELECT * FROM {{fsa_quarter}} AS f WHERE run_date BETWEEN DATE '1996-01-01' AND DATE '2001-07-01'
+  AND NOT (unit_id = 5 AND run_date = (SELECT max(run_date) FROM {{fsa_quarter}} AS g WHERE run_date <= DATE '2001-07-01')))"""
+
+
+@query(
+    "incomplete_units",
+    f"""
+    WITH {HOLES}, ny AS (SELECT unit_id, COUNT(arr_rt) AS n FROM thin GROUP BY 1), nx AS (SELECT unit_id, COUNT(value) AS n FROM x WHERE value IS NOT NULL GROUP BY 1)
+    SELECT 'all' AS variant, coalesce(ny.unit_id, nx.unit_id) AS unit_id,
+      (SELECT COUNT(DISTINCT run_date) FROM thin) - coalesce(ny.n, 0) AS missing_periods,
+      (SELECT COUNT(DISTINCT predictor) FROM x WHERE value IS NOT NULL) - coalesce(nx.n, 0) AS missing_predictors
+    FROM ny FULL JOIN nx ON ny.unit_id = nx.unit_id
+    WHERE coalesce(ny.n, 0) < (SELECT COUNT(DISTINCT run_date) FROM thin)
+      OR coalesce(nx.n, 0) < (SELECT COUNT(DISTINCT predictor) FROM x WHERE value IS NOT NULL)
+    """,
+)
+def incomplete_units(inp):
+    """Units with a hole are named, not lost; unit 5 gets one in the last period."""
+    y = synthetic.outcomes(panel(inp), SPEC)
+    last = y.agg(F.max("run_date")).scalar()
+    thin = y.where(~((c("unit_id") == 5) & (c("run_date") == last)))
+    return synthetic.incomplete_units(synthetic.predictors(panel(inp), SPEC), thin)
 
 
 PRECISION = 8
@@ -220,9 +261,11 @@ for _family in synthetic.FAMILIES:
     _conf(_family)
 
 
-def fixture_fits(inp, spec=SPEC):
+def fixture_fits(inp, spec=SPEC, treated=None):
+    """Fits of all units, or of the treated one alone."""
     x, y = synthetic.predictors(panel(inp), spec), synthetic.outcomes(panel(inp), spec)
-    jobs = synthetic.placebo_jobs(synthetic.complete_units(x, y))
+    complete = synthetic.complete_units(x, y)
+    jobs = synthetic.placebo_jobs(complete) if treated is None else synthetic.treated_job(complete, treated)
     return synthetic.fit(jobs, synthetic.pack_units(x, y))
 
 
@@ -276,7 +319,7 @@ def scm_weights_optimal(inp):
 @query("scm_leave_one_out")
 def scm_leave_one_out(inp):
     rows = panel(inp)
-    weights = synthetic.donor_weights(fixture_fits(inp))
+    weights = synthetic.donor_weights(fixture_fits(inp, treated=TREATED))
     return scm_study.leave_one_out(rows, SPEC, TREATED, weights).select(
         "job", "run_date", "y1", "y0", "gap", "pre"
     )
@@ -285,7 +328,7 @@ def scm_leave_one_out(inp):
 @query("scm_backdated")
 def scm_backdated(inp):
     spec = SPEC.backdate(D(1997, 7, 1), "yr97_q1")
-    weights = synthetic.donor_weights(fixture_fits(inp, spec))
+    weights = synthetic.donor_weights(fixture_fits(inp, spec, TREATED))
     gaps = synthetic.paths(synthetic.outcomes(panel(inp), spec), weights)
     return gaps.where(c("unit_id") == TREATED).select("run_date", "y1", "y0", "gap", "pre")
 
@@ -298,23 +341,69 @@ def scm_nested_fit(inp):
     return synthetic.fit(synthetic.treated_job(units(inp), TREATED), packed, nested=True)
 
 
-BUREAU_SPEC = scm_study.ARREARS.__class__(
-    outcome="ml_ins_arr_rt",
-    level="ln_ml_bal_ins",
-    series=("nearprime_rt", "subprime_rt", "ml_ins_arr_rt"),
+# The fixture's calendar; outcomes and series are those of the published studies.
+BUREAU_WINDOW = dict(
     quarters=("yr15_q2", "yr15_q3", "yr15_q4", "yr16_q1"),
     window=(D(2015, 2, 1), D(2017, 6, 1)),
     t0=D(2016, 5, 1),
 )
+BUREAU_SPEC = ScmSpec(
+    outcome="ml_ins_arr_rt",
+    level="ln_ml_bal_ins",
+    series=("nearprime_rt", "subprime_rt", "ml_ins_arr_rt"),
+    **BUREAU_WINDOW,
+)
+
+
+def bureau_rates(inp, over_active=False):
+    """The region panel with rates and variants, and the treated unit's id (0 without one)."""
+    rates = scm_study.derive_rates(cut_lineage(bureau_region_panel(inp)), over_active)
+    rates = cut_lineage(scm_study.variants(rates))
+    treated = rates.where(c("treated") == 1).agg(F.min("unit_id")).first()[0]
+    return rates, 0 if treated is None else treated
 
 
 @query("pipe_scm")
 def pipe_scm(inp):
     """Bureau files to a confidence band for the treated area, per damage variant."""
-    rates = scm_study.derive_rates(cut_lineage(bureau_region_panel(inp)))
-    rates = cut_lineage(scm_study.variants(rates))
-    treated = rates.where(c("treated") == 1).agg(F.min("unit_id")).first()[0]
-    if treated is None:
-        treated = 0
+    rates, treated = bureau_rates(inp)
     study = scm_study.placebo_study(rates, BUREAU_SPEC, treated, materialise=cut_lineage)
     return study["conf_uniform"]
+
+
+def bureau_outcome(published: ScmSpec) -> ScmSpec:
+    return replace(published, **BUREAU_WINDOW)
+
+
+@query("pipe_scm_card")
+def pipe_scm_card(inp):
+    """Placebo gaps of the card balances of insured mortgage holders."""
+    rates, treated = bureau_rates(inp)
+    study = scm_study.placebo_study(rates, bureau_outcome(scm_study.CARD_BALANCE), treated, materialise=cut_lineage)
+    return study["gaps"].select(VARIANT, "unit_id", "run_date", "gap", "pre")
+
+
+@query("pipe_scm_score")
+def pipe_scm_score(inp):
+    """Placebo gaps of the credit score, with the use and score shares over all active consumers."""
+    rates, treated = bureau_rates(inp, over_active=True)
+    study = scm_study.placebo_study(rates, bureau_outcome(scm_study.CREDIT_SCORE), treated, materialise=cut_lineage)
+    return study["gaps"].select(VARIANT, "unit_id", "run_date", "gap", "pre")
+
+
+@query("pipe_scm_loo")
+def pipe_scm_loo(inp):
+    """Paths of the treated area with each of its donors left out."""
+    rates, treated = bureau_rates(inp)
+    study = scm_study.placebo_study(rates, BUREAU_SPEC, treated, families=(), materialise=cut_lineage)
+    out = scm_study.leave_one_out(rates, BUREAU_SPEC, treated, study["weights"])
+    return out.select(VARIANT, "job", "run_date", "y1", "y0", "gap", "pre")
+
+
+@query("pipe_scm_backdated")
+def pipe_scm_backdated(inp):
+    """The study as if treatment had started half a year earlier."""
+    rates, treated = bureau_rates(inp)
+    spec = BUREAU_SPEC.backdate(D(2015, 11, 1), "yr15_q3")
+    study = scm_study.placebo_study(rates, spec, treated, families=(), materialise=cut_lineage)
+    return study["gaps"].where(c("unit_id") == treated).select(VARIANT, "run_date", "y1", "y0", "gap", "pre")

@@ -66,7 +66,7 @@ SELECT tu_consumer_id, {_text('m', '1')} AS run_date,
   concat(substr('T9HT9JT9KT2AT5BT0CS4PS7KM5VV6BT1XT3Z', CAST(3 * (k % 12) + 1 AS INT), 3)) AS fsa,
   CASE WHEN tu_consumer_id % 29 = 3 THEN NULL ELSE concat('E', lpad(CAST(k AS STRING), 6, '0')) END AS encrypted_ldu,
   CAST(CASE WHEN tu_consumer_id % 13 = 0 THEN 0 ELSE 20 + (tu_consumer_id * 7) % 150 END AS INT) AS go30,
-  CASE WHEN tu_consumer_id % 4 = 0 THEN 'AB' WHEN tu_consumer_id % 4 = 1 THEN 'ON' ELSE '??' END AS go90,
+  CASE WHEN tu_consumer_id % 4 = 0 THEN 'AB' WHEN tu_consumer_id % 4 = 1 THEN 'ON' WHEN tu_consumer_id % 14 = 2 THEN 'SASK' WHEN tu_consumer_id % 14 = 6 THEN 'AB ' ELSE '??' END AS go90,
   CASE WHEN tu_consumer_id % 31 = 5 AND d > 20 THEN 'Y' ELSE 'N' END AS go91,
   CAST(CASE WHEN (tu_consumer_id + d) % 23 = 0 THEN 0 ELSE 450 + cents % 450 END AS INT) AS as115,
   CAST(CASE WHEN (tu_consumer_id + d) % 17 = 0 THEN -8 WHEN (tu_consumer_id + d) % 19 = 0 THEN 0
