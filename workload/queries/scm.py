@@ -48,8 +48,12 @@ def units(inp):
 
 
 def uniform_gaps(inp):
-    weights = synthetic.uniform_weights(units(inp))
-    return weights, synthetic.paths(synthetic.outcomes(panel(inp), SPEC), weights)
+    """Weights and gaps under equal weights, written once: the results read them several times."""
+    if not hasattr(inp, "scm_gaps"):
+        weights = cut_lineage(synthetic.uniform_weights(units(inp)))
+        gaps = synthetic.paths(cut_lineage(synthetic.outcomes(panel(inp), SPEC)), weights)
+        inp.scm_gaps = weights, cut_lineage(gaps)
+    return inp.scm_gaps
 
 
 OUTCOMES = f"""
@@ -208,7 +212,7 @@ def incomplete_units(inp):
     return synthetic.incomplete_units(synthetic.predictors(panel(inp), SPEC), thin)
 
 
-PRECISION = 8
+PRECISION = 30
 
 
 def conf_sql(family: str) -> str:
