@@ -8,6 +8,8 @@ from workload import registry, views
 from workload.check import compare
 
 SF_DIR = "/root/testdata/sf0.001"
+# The smallest tables leave the treated unit of the fits with holes.
+FIT_DIR = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +34,7 @@ def test_query_equals_sql(spark, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF_DIR).collect()
+    assert registry.QUERIES[name](spark, FIT_DIR).collect()
 
 
 def test_entry_contract(spark):
