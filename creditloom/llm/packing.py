@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from creditloom.llm.base import map_rows, texts
-from creditloom.llm.unit_tokens import encoder
+from creditloom.llm.unit_tokens import encoded
 from creditloom.session import cut_lineage
 
 SIZE = 2048
@@ -82,11 +82,10 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key: str = "d
 
     def cut(batches):
         part, seen = TaskContext.get().partitionId(), np.zeros(size + 1, dtype=np.int64)
-        encode = encoder(tokenizer_path, False).encode
         end = END_ID.to_bytes(4, "little")
-        for ids, bodies in batches:
+        for ids, texts_coded in encoded(batches, tokenizer_path, False):
             out = [[] for _ in range(7)]
-            for doc_id, coded in zip(ids, encode(bodies)):
+            for doc_id, coded in zip(ids, texts_coded):
                 coded += end
                 total = len(coded) // 4
                 for number, start in enumerate(range(0, total, size)):

@@ -8,6 +8,11 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 # Units held per Python worker in each of two generations: a full one becomes the old one, and units that are
 # met again move to the new one. Long units are not held.
@@ -16,12 +21,12 @@ CACHE_UNIT_CHARS = 128
 
 # Unicode white space (the property White_Space), written as a character class. Fixed values.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_RUN = re.compile(f"[{_WHITE}]{{2}}")
+_OTHER_WHITE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _UNITS = re.compile(f" ?[^{_WHITE}]+|[{_WHITE}]+(?![^{_WHITE}])|[{_WHITE}]+")
-_MARK_BEFORE_STOP = re.compile(r"(?:\W|[_\u0130])[.,][ \n]")
+_MARK_BEFORE_STOP = re.compile(r"[.,](?<=[\W_\u0130][.,])[ \n]")
 
 # Characters cut into units at a time; longer texts are cut before a single space.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 22
 _CUT = re.compile(f"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
 
 _ENCODERS: dict[tuple[str, bool], "UnitEncoder"] = {}
@@ -34,6 +39,27 @@ def encoder(path: str, spaces_matter: bool) -> "UnitEncoder":
     return _ENCODERS[path, spaces_matter]
 
 
+def encoded(batches, path: str, spaces_matter: bool):
+    """(ids, coded texts) of batches of (ids, texts), gathered up to ``PART_CHARS``: larger parts repeat more units."""
+    encode, held, texts, size = encoder(path, spaces_matter).encode, [], [], 0
+    for ids, bodies in batches:
+        held += ids
+        texts += bodies
+        size += sum(map(len, bodies))
+        if size >= PART_CHARS:
+            yield held, encode(texts)
+            held, texts, size = [], [], 0
+    if held:
+        yield held, encode(texts)
+
+
+def _has_runs(text: str) -> bool:
+    """White space beside white space, or of a kind other than space and line end."""
+    if any(run in text for run in ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c")):
+        return True
+    return not text.isascii() and bool(_OTHER_WHITE.search(text))
+
+
 def _is_latin(text: str) -> bool:
     """Only characters whose lower case is the same everywhere."""
     try:
@@ -58,7 +84,8 @@ class UnitEncoder:
         self.cache, self.old = {}, {}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _units(self, text: str) -> list[str]:
+    def _marked(self, text: str) -> str:
+        """The text with a separator wherever the tokenizer is sure to cut (for the other kind, spaces are it)."""
         # A comma or full stop that ends a word is a unit of its own, unless no letter or digit stands before it:
         # the tokenizer keeps runs of marks together.
         stops = not _MARK_BEFORE_STOP.search(text)
@@ -67,16 +94,12 @@ class UnitEncoder:
             flat = text.replace("\n", " ")
             if _is_latin(flat):
                 flat = flat.lower()
-            if stops:
-                flat = flat.replace(", ", " , ").replace(". ", " . ")
-            return flat.split(" ")
-        if _RUN.search(text) or "\0" in text:
-            return _UNITS.findall(text)
+            return flat.replace(", ", " , ").replace(". ", " . ") if stops else flat
+        if _has_runs(text):
+            return "\0".join(_UNITS.findall(text))
         # Single white space only: a word starts at its space, a line end stands alone.
         flat = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-        if stops:
-            flat = flat.replace(",\0", "\0,\0").replace(".\0", "\0.\0")
-        return flat.split("\0")
+        return flat.replace(",\0", "\0,\0").replace(".\0", "\0.\0") if stops else flat
 
     def _parts(self, text: str) -> list[str]:
         """The text in parts that the tokenizer never joins."""
@@ -92,8 +115,8 @@ class UnitEncoder:
         found, held, size = [], [], 0
         for text in batch:
             lowered = text.lower() if "<" in text else ""
-            if any(token in lowered for token in self.special):
-                # Special tokens cut texts in ways of their own.
+            if "\0" in text or any(token in lowered for token in self.special):
+                # Special tokens cut texts in ways of their own, and the separator must be free.
                 ids = self.tokenizer.encode(text, add_special_tokens=False).ids
                 found.append(b"".join(i.to_bytes(4, "little") for i in ids))
                 continue
@@ -112,21 +135,37 @@ class UnitEncoder:
             found[place] = coded if found[place] is None else found[place] + coded
 
     def _encode(self, batch: list[str]) -> list[bytes]:
-        units = [self._units(text) for text in batch]
-        cache, old, unseen = self.cache, self.old, []
-        for unit in set().union(*units).difference(cache):
-            if unit in old:
-                cache[unit] = old[unit]
-            else:
-                unseen.append(unit)
+        """ids of texts: distinct units are looked up once, their ids gathered for all places."""
+        if not batch:
+            return []
+        split = pc.split_pattern(pa.array([self._marked(text) for text in batch]), "\0" if self.spaces_matter else " ")
+        units = split.flatten().dictionary_encode()
+        coded = self._lookup(units.dictionary.to_pylist())
+        flat = np.frombuffer(b"".join(coded), dtype="<u4")
+        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) >> 2
+        index = units.indices.to_numpy()
+        own = size[index]
+        ends = np.cumsum(own)
+        first = (np.cumsum(size) - size)[index]
+        ids = flat[np.repeat(first - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
+    def _lookup(self, units: list[str]) -> list[bytes]:
+        cache, old = self.cache, self.old
+        unseen = [unit for unit in units if unit not in cache]
+        if old:
+            again = [unit for unit in unseen if unit in old]
+            cache.update(zip(again, map(old.__getitem__, again)))
+            unseen = [unit for unit in unseen if unit not in old]
         for at in range(0, len(unseen), 4096):
             part = unseen[at : at + 4096]
-            for unit, made in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                cache[unit] = b"".join([i.to_bytes(4, "little") for i in made.ids])
-        found = [b"".join(map(cache.__getitem__, of)) for of in units]
+            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            cache.update(zip(part, [array("I", one.ids).tobytes() for one in made]))
+        coded = list(map(cache.__getitem__, units))
         for unit in unseen:
             if len(unit) > CACHE_UNIT_CHARS:
                 del cache[unit]
         if len(cache) > CACHE_UNITS:
             self.cache, self.old = {}, cache
-        return found
+        return coded
