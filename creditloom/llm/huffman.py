@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from creditloom.llm.base import map_rows, ready, texts
-from creditloom.llm.unit_tokens import encoder
+from creditloom.llm.unit_tokens import encoded
 from creditloom.session import scratch_path
 
 MAX_BITS = 20
@@ -126,26 +126,15 @@ def decode_block(payload: bytes, doc_tokens: np.ndarray, checkpoints: np.ndarray
 
 
 def tokens(docs: DataFrame, tokenizer_path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids): little-endian unsigned 32-bit ids of the whole text, then ``end_id``."""
+    """(doc_id, n, ids): the n ids of the whole text with ``end_id`` last, little-endian, 16 bits each if all fit, else 32."""
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
-        encode = encoder(tokenizer_path, True).encode
-        for ids, bodies in batches:
-            yield [ids, [coded + end for coded in encode(bodies)]]
+        for ids, coded in encoded(batches, tokenizer_path, True):
+            wide = [np.frombuffer(c + end, dtype="<u4") for c in coded]
+            yield [ids, [len(w) for w in wide], [(w.astype("<u2") if w.max() < 65_536 else w).tobytes() for w in wide]]
 
-    return map_rows(texts(docs, key, text), run, "doc_id long, ids binary")
-
-
-def _narrow(df: DataFrame) -> DataFrame:
-    """ids below 65,536 as 16-bit integers, for the intermediate table."""
-
-    def run(batches):
-        for ids, coded in batches:
-            wide = [np.frombuffer(c, dtype="<u4") for c in coded]
-            yield [ids, [len(w) for w in wide], [w.astype("<u2").tobytes() if w.max() < 65_536 else c for w, c in zip(wide, coded)]]
-
-    return map_rows(df, run, "doc_id long, n int, ids binary")
+    return map_rows(texts(docs, key, text), run, "doc_id long, n int, ids binary")
 
 
 def _wide(n: int, coded: bytes) -> np.ndarray:
@@ -203,7 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, key: str
     """
     spark = ready(docs.sparkSession)
     stage = scratch_path(spark, "ids")
-    _narrow(tokens(docs, tokenizer_path, end_id, key, text)).write.option("compression", "zstd").parquet(stage)
+    tokens(docs, tokenizer_path, end_id, key, text).write.option("compression", "zstd").parquet(stage)
     staged = spark.read.parquet(stage)
     rows = map_rows(staged.select("n", "ids"), _counts, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(max((r["id"] for r in rows), default=0) + 1, dtype=np.int64)
