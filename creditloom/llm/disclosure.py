@@ -30,9 +30,6 @@ CONTEXT = 80
 # Different contexts a (value, term) pair is seen in before its disclosure is believed.
 MIN_CONTEXTS = 3
 DISCLOSURE = 0.8
-# Terms whose document counts are taken before the shuffle, by broadcast; more are counted after it.
-BROADCAST_TERMS = 200_000
-
 _SPAN = "struct<start: int, kind: int, end: int, value: string>"
 
 
@@ -109,12 +106,10 @@ def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 def _term_counts(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
     """(term, n_term): documents that hold each of the given terms, over all documents."""
-    # One row per term and document; the partial count before the shuffle sums a task's documents.
+    # One row per term and document; the partial count before the shuffle leaves one row per term and task.
     held = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term")
     )
-    if terms.count() <= BROADCAST_TERMS:
-        return held.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
     return held.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
 
 
@@ -140,8 +135,7 @@ def revealing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str
     def share(n_term: str) -> Column:
         return F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_value") * F.col(n_term))) / F.log2(F.lit(total) / F.col("n_value"))
 
-    # A term is in no fewer documents than those that have it near a value; that bound already rules out common words,
-    # so that only few terms are counted over the whole corpus.
+    # A term is in no fewer documents than those that have it near a value; that bound already rules out common words.
     near_counts = copies.join(near.select("__key", "term").distinct(), "__key").groupBy("term").agg(F.sum("copies").alias("n_near"))
     possible = cut_lineage(pairs.join(near_counts, "term").filter(share("n_near") >= DISCLOSURE).drop("n_near"))
     terms = _term_counts(docs, cut_lineage(possible.select("term").distinct()), key, text)
