@@ -196,7 +196,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
         distinct.join(links, "rep", "left").join(of_rep, "rep", "left")
         .select("dim", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("group_least", "least").alias("component"))
     )
-    joined = rows.join(known, ["dim", "vector"], "left")
+    # Vectors that cannot link have no key, and no part in the join.
+    joined = rows.filter("dim is not null").join(cut_lineage(known), ["dim", "vector"]).select("vec_id", "links", "component")
+    alone = rows.filter("dim is null").select("vec_id", F.lit(0).cast("long").alias("links"), F.col("vec_id").alias("component"))
+    joined = joined.union(alone)
     return joined.select(
         "vec_id",
         F.coalesce("links", F.lit(0)).cast("long").alias("n_links"),

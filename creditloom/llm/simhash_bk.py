@@ -158,15 +158,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     grouped = groups.join(distinct, groups["node"] == distinct["fp"]).select("fp", "component", "least")
     least = grouped.groupBy("component").agg(F.min("least").alias("group_least"))
     linked = grouped.join(least, "component").select("fp", "group_least")
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id"))
+    # Written first: a join of two tables is one whose hot fingerprint AQE can split.
+    of_fp = cut_lineage(distinct.join(linked, "fp", "left").select("fp", F.coalesce("group_least", "least").alias("component_id")))
     return rows.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, in their own columns, whose id is the smallest of their group; repeated rows stay once.
 
-    Documents without an id stay if their group has no id at all.
+    Ids, not rows, are kept: texts under a kept id all stay, once each. Documents without an id cannot be named and stay.
+    Only ids that go or repeat meet the documents, so texts are not shuffled where those are few.
     """
-    kept = near_duplicates(docs, key, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    ids = kept.select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(ids, F.col(key).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([key, text])
+    found = near_duplicates(docs, key, text).filter("doc_id is not null")
+    fate = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
+    special = cut_lineage(fate.filter("not kept or n > 1").select(F.col("doc_id").alias("__special"), "kept"))
+    named = F.col(key) == F.col("__special")
+    repeated = docs.join(special.filter("kept"), named, "left_semi").dropDuplicates([key, text])
+    return docs.join(special, named, "left_anti").union(repeated)

@@ -148,6 +148,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without a leak, in their own columns. Documents without an id cannot be named, so they stay if no leak has a null id."""
+    """Documents without a leak, in their own columns. Documents without an id cannot be named and stay."""
     found = leaks(docs, benchmark).select(F.col("doc_id").alias("__leaky")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__leaky")), "left_anti")
+    return docs.join(found, F.col("doc_id") == F.col("__leaky"), "left_anti")

@@ -76,3 +76,11 @@ def test_rows_of_every_kind(spark):
     by_id = {r.doc_id: r for r in found}
     assert by_id[2].component_id == 1 and by_id[4].component_id == 3 and by_id[6].component_id == 6
     assert simhash_bk.near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_one_document_of_each_group_stays(spark):
+    rows = [(1, "a b c d"), (2, "A b c d"), (3, "other words here now"), (3, "other words here now"), (4, "x y z w v"), (None, "a b c d"), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, component_id int")
+    kept = sorted((str(r.doc_id), str(r.text)) for r in simhash_bk.first_of_each(docs).collect())
+    assert kept == sorted([("1", "a b c d"), ("3", "other words here now"), ("4", "x y z w v"), ("5", "None"), ("None", "a b c d")])
+    assert simhash_bk.first_of_each(docs.limit(0)).collect() == []
