@@ -46,7 +46,20 @@ def op3(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op4_forest")
+# All pairs, and reachability by recursion: for the small tables of the comparison.
+ALL_PAIRS = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9 AND NOT isnan(list_cosine_similarity(a.e, b.e))),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+counted AS (SELECT a, COUNT(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, v.vec_id = component_id AS kept
+FROM v JOIN least ON least.a = v.vec_id LEFT JOIN counted ON counted.a = v.vec_id
+"""
+
+
+@query("op4_forest", ALL_PAIRS)
 def op4(spark, sf_dir):
     return forest.near_duplicates(table(spark, sf_dir, "embeddings"))
 
