@@ -110,7 +110,8 @@ def _term_counts(docs: DataFrame, terms: DataFrame, key: str, text: str) -> Data
     held = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term")
     )
-    return held.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    # The terms are distinct, so this is a semi join; written as one, it would be moved below the count.
+    return held.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
 
 
 def revealing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
