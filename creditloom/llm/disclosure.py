@@ -1,9 +1,9 @@
 """Personal data: patterns, and terms that give them away.
 
-Base kinds are found by pattern. Then the corpus tells how much a term near a value reveals it: with counts of
-documents, ``log2 p(value, term) / (p(value) p(term))`` over ``-log2 p(value)`` is the share of the value's information
-that the term carries. A term seen with the value in several different contexts and above ``DISCLOSURE`` is a span
-of kind ``term``, to be generalised like the values themselves. DataFrame expressions only.
+Base kinds are found by pattern. Then the corpus tells how much a term reveals of a value that it shares texts with: with
+counts of whole documents, ``log2 p(value, term) / (p(value) p(term))`` over ``-log2 p(value)`` is the share of the value's
+information that the term carries. A term above ``DISCLOSURE`` that meets the value more often than ``CHANCE`` allows is a span
+of kind ``term`` wherever it stands, to be generalised like the values themselves. DataFrame expressions, but for the look-up of terms in a set.
 
 The patterns are written so that the engine neither recurses nor backs up: possessive repeats where what follows
 cannot start inside, and a start only where a run starts or the last match ended. Their matches are the plain ones'.
@@ -11,6 +11,9 @@ cannot start inside, and a start only where a run starts or the last match ended
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from creditloom.llm.base import ready
@@ -25,10 +28,14 @@ PATTERNS = {
 }
 GENERAL = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "term": "[TERM]"}
 WORD = r"\\p{L}{3,}"
-# Characters to each side of a value that are its context.
+# Characters to each side of a value that tell its contexts apart, so that copies and near copies count as one.
 CONTEXT = 80
-# Different contexts a (value, term) pair is seen in before its disclosure is believed.
-MIN_CONTEXTS = 3
+# A term is believed if fewer than this many words of the whole vocabulary are expected to meet a value as often by chance.
+CHANCE = 0.05
+# Different contexts a (value, term) pair is seen in at the least, however unlikely it is.
+MIN_CONTEXTS = 1
+# Terms are sent to all tasks as a set up to this many; beyond, they are joined by word.
+BROADCAST_TERMS = 200_000
 DISCLOSURE = 0.8
 _SPAN = "struct<start: int, kind: int, end: int, value: string>"
 
@@ -60,111 +67,130 @@ def _spans(kind: str) -> str:
          cast(array() as array<{_SPAN}>))"""
 
 
-def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, __key, spans, near): base spans in order, and the words around each as (term, start, end).
+def base_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, __row, __null, __doc, __text, spans, near, words) of every row; to be written before its use.
 
-    ``__key`` stands for the text: copies share it.
+    ``__row`` tells rows apart, ``__doc`` holds the columns to keep. ``near`` is the value and the text on both sides of every base
+    span, ``words`` the different words outside of base spans, in their case.
     """
     ready(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    rows = rows.withColumn("__digit", F.col("__text").rlike("[0-9]"))
-    found = rows.select(
-        "doc_id",
-        "__text",
-        F.expr("array_sort(concat(" + ", ".join(_spans(k) for k in KINDS[:4]) + "))").alias("spans"),
+    rows = docs.select(
+        F.col(key).cast("long").alias("doc_id"),
+        F.struct(F.lit(0).alias("__none"), *[F.col(f"`{c}`") for c in keep]).alias("__doc"),
+        F.col(text).isNull().alias("__null"),
+        F.coalesce(F.col(text), F.lit("")).alias("__text"),
     )
-
-    def words(part: str, offset: str) -> str:
-        return f"""aggregate(
-            zip_with(regexp_extract_all({part}, '{WORD}', 0), split({part}, '{WORD}', -1), (m, g) -> struct(m, length(g) as gap)),
-            named_struct('at', {offset}, 'found', cast(array() as array<struct<term: string, start: int, end: int>>)),
-            (acc, x) -> if(x.m is null, acc, named_struct(
-               'at', acc.at + x.gap + length(x.m),
-               'found', concat(acc.found, array(named_struct('term', lower(x.m), 'start', acc.at + x.gap, 'end', acc.at + x.gap + length(x.m)))))),
-            acc -> acc.found)"""
-
-    # A word cut by the context's edge is no word.
-    sides = found.withColumn(
-        "sides",
-        F.expr(
-            f"""transform(spans, s -> struct(
-                regexp_replace(substring(__text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})), if(s.start > {CONTEXT}, '^\\\\p{{L}}+', '^$'), '') as head,
-                regexp_replace(substring(__text, s.end + 1, {CONTEXT}), if(length(__text) > s.end + {CONTEXT}, '\\\\p{{L}}+$', '^$'), '') as tail))"""
-        ),
-    )
-    return sides.select(
+    rows = rows.withColumn("__row", F.monotonically_increasing_id()).withColumn("__digit", F.col("__text").rlike("[0-9]"))
+    found = rows.withColumn("spans", F.expr("array_sort(concat(" + ", ".join(_spans(k) for k in KINDS[:4]) + "))"))
+    outside = """if(size(spans) = 0, __text, aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+        (acc, s) -> if(s.end <= acc.at, acc, named_struct('at', s.end, 'out', concat(acc.out, array(
+            substring(__text, acc.at + 1, greatest(s.start - acc.at, 0)))))),
+        acc -> concat_ws(' ', acc.out, substring(__text, acc.at + 1))))"""
+    return found.select(
         "doc_id",
-        F.when(F.size("spans") > 0, F.concat_ws("-", F.xxhash64("__text"), F.hash("__text"))).alias("__key"),
+        "__row",
+        "__null",
+        "__doc",
+        "__text",
         "spans",
         F.expr(
-            f"""transform(sides, (x, i) -> struct(
-                lower(spans[i].value) as value, xxhash64(x.head, x.tail) as context,
-                concat({words('x.head', 'spans[i].start - length(x.head)')}, {words('x.tail', 'spans[i].end')}) as terms))"""
+            f"""transform(spans, s -> struct(lower(s.value) as value, xxhash64(
+                substring(__text, greatest(s.start - {CONTEXT}, 0) + 1, least(s.start, {CONTEXT})), substring(__text, s.end + 1, {CONTEXT})) as context))"""
         ).alias("near"),
+        F.expr(f"array_distinct(regexp_extract_all({outside}, '{WORD}', 0))").alias("words"),
     )
 
 
-def _term_counts(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """(term, n_term): documents that hold each of the given terms, over all documents."""
-    # One row per term and document; the partial count before the shuffle leaves one row per term and task.
-    held = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term")
-    )
-    # The terms are distinct, so this is a semi join; written as one, it would be moved below the count.
-    return held.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term")
+def _log_chance(k: Column, n: Column, q: Column) -> Column:
+    """Logarithm of a bound (Chernoff) on the chance that k or more of n texts hold a word that a share q of all texts holds."""
+    a = k / n
+    rest = F.when(k < n, (1 - a) * F.log((1 - a) / (1 - q))).otherwise(0.0)
+    return F.when(a > q, -n * (a * F.log(a / q) + rest)).otherwise(0.0)
 
 
-def revealing(found: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(value, term, disclosure) of the pairs beyond the threshold; ``found`` is the written result of base_spans."""
-    near = found.filter("__key is not null").select("__key", F.explode("near").alias("n")).select(
-        "__key", "n.value", "n.context", F.explode("n.terms.term").alias("term")
-    )
-    contexts = near.select("value", "term", "context").distinct().groupBy("value", "term").agg(F.count("*").alias("n"))
-    often = cut_lineage(contexts.filter(F.col("n") >= MIN_CONTEXTS).select("value", "term"))
-    # Copies are documents too: rows count, not texts.
-    copies = found.filter("__key is not null").groupBy("__key").agg(F.count("*").alias("copies"))
+def revealing(found: DataFrame) -> DataFrame:
+    """(value, term, disclosure) of the pairs beyond both thresholds; ``found`` is the written result of base_spans.
+
+    A pair's rows are those that hold both anywhere. Chance is judged on different contexts only, so copies are no evidence.
+    """
     total = float(found.count())
-    values = (
-        found.filter("__key is not null").select(F.explode(F.array_distinct("near.value")).alias("value"))
-        .groupBy("value").agg(F.count("*").alias("n_value")).filter(F.col("n_value") < total)
-    )
-    pairs = (
-        copies.join(near.join(often, ["value", "term"], "left_semi").select("__key", "value", "term").distinct(), "__key")
-        .groupBy("value", "term").agg(F.sum("copies").alias("n_pair")).join(values, "value")
+    # One row per term and document; the partial count before the shuffle leaves one row per term and task.
+    held = found.select(F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term"))
+    counts = cut_lineage(held.groupBy("term").agg(F.count("*").alias("n_term")))
+    tried = F.log(F.lit(float(max(counts.count(), 1))))
+    # A value's context in a text is that of its first place.
+    holds = found.filter("size(near) > 0").select("__row", F.posexplode("near").alias("pos", "n")).groupBy("__row", "n.value").agg(
+        F.min(F.struct("pos", "n.context"))["context"].alias("context")
     )
+    holds = cut_lineage(holds)
+    contexts = holds.groupBy("value", "context").agg(F.count("*").alias("rows"))
+    values = contexts.groupBy("value").agg(F.sum("rows").alias("n_value"), F.count("*").alias("n_context"))
+
+    def share(n_pair: Column) -> Column:
+        return F.log2(F.lit(total) * n_pair / (F.col("n_value") * F.col("n_term"))) / F.log2(F.lit(total) / F.col("n_value"))
 
-    def share(n_term: str) -> Column:
-        return F.log2(F.lit(total) * F.col("n_pair") / (F.col("n_value") * F.col(n_term))) / F.log2(F.lit(total) / F.col("n_value"))
+    def certain(k: Column) -> Column:
+        return (k >= MIN_CONTEXTS) & (tried + _log_chance(k, F.col("n_context"), F.col("n_term") / total) <= F.log(F.lit(CHANCE)))
 
-    # A term is in no fewer documents than those that have it near a value; that bound already rules out common words.
-    near_counts = copies.join(near.select("__key", "term").distinct(), "__key").groupBy("term").agg(F.sum("copies").alias("n_near"))
-    possible = cut_lineage(pairs.join(near_counts, "term").filter(share("n_near") >= DISCLOSURE).drop("n_near"))
-    terms = _term_counts(docs, cut_lineage(possible.select("term").distinct()), key, text)
+    # What the counts of value and term allow at most rules out common words, and values seen too seldom, before any pair is made.
+    values = cut_lineage(
+        values.filter(F.col("n_value") < total).withColumn("n_term", F.lit(1)).filter(certain(F.col("n_context"))).drop("n_term")
+    )
+    most = values.agg(F.max("n_value")).first()[0]
+    if most is None:
+        return found.sparkSession.createDataFrame([], "value string, term string, disclosure double")
+    rare = counts.filter(F.col("n_term") <= math.ceil(total * (most / total) ** DISCLOSURE) + 1)
+    valued = holds.join(values, "value")
+    words = found.filter("size(near) > 0").select("__row", F.explode(F.array_distinct(F.transform("words", F.lower))).alias("term"))
+    possible = (share(F.least("n_value", "n_term")) >= DISCLOSURE) & certain(F.col("n_context"))
+    pairs = words.join(rare, "term").join(valued, "__row").filter(possible)
+    sums = pairs.groupBy("value", "term", "context", "n_value", "n_context", "n_term").agg(F.count("*").alias("rows"))
+    sums = sums.groupBy("value", "term", "n_value", "n_context", "n_term").agg(F.sum("rows").alias("n_pair"), F.count("*").alias("k"))
     return (
-        possible.join(terms, "term").select("value", "term", share("n_term").alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE)
+        sums.filter(certain(F.col("k"))).select("value", "term", share(F.col("n_pair")).alias("disclosure")).filter(F.col("disclosure") >= DISCLOSURE)
     )
 
 
-def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, __key, spans): base spans and terms of every row, by start, then kind.
+def _held(terms: frozenset[str]):
+    """Those words of a row that are terms, found in place so that texts are not shuffled."""
+
+    def held(words: pd.Series, lowered: pd.Series) -> pd.Series:
+        return pd.Series([[w for w, low in zip(*pair) if low in terms] for pair in zip(words, lowered)])
+
+    return F.pandas_udf(held, "array<string>")
+
+
+def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, __null, __doc, __text, spans): base spans and terms of every row, by start, then kind.
 
     Null and empty texts have no spans; repeated rows stay repeated, a null id is kept, an empty table gives no rows. A
-    term that overlaps a base span is left out. Copies share their text's spans, worked out once.
+    revealing term is a span wherever it stands, in texts without the value too; where it overlaps a base span it is left out.
     """
-    found = cut_lineage(base_spans(docs, key, text))
-    flagged = cut_lineage(revealing(found, docs, key, text))
-    near = found.filter("__key is not null").select("__key", F.explode("near").alias("n")).select(
-        "__key", "n.value", F.explode("n.terms").alias("t")
-    )
-    terms = near.join(flagged, (near["value"] == flagged["value"]) & (near["t.term"] == flagged["term"])).select("__key", "t.*").distinct()
-    per_text = terms.groupBy("__key").agg(
-        F.collect_set(F.expr(f"struct(start, {KINDS.index('term')} as kind, end, term as value)")).alias("terms")
-    )
-    free = f"""array_sort(concat(spans, filter(coalesce(terms, cast(array() as array<{_SPAN}>)),
-                t -> not exists(spans, s -> t.start < s.end and s.start < t.end))))"""
-    # Texts without a value have no key, and no part in the join.
-    held = found.filter("__key is not null").join(per_text, "__key", "left").select("doc_id", "__key", F.expr(free).alias("spans"))
-    return held.union(found.filter("__key is null").select("doc_id", "__key", "spans"))
+    found = cut_lineage(base_spans(docs, key, text, keep))
+    terms = cut_lineage(revealing(found).select("term").distinct())
+    known = terms.count()
+    if known == 0:
+        return found.select("doc_id", "__null", "__doc", "__text", "spans")
+    if known <= BROADCAST_TERMS:
+        joined = found.withColumn("__hits", _held(frozenset(r["term"] for r in terms.collect()))("words", F.transform("words", F.lower)))
+    else:
+        words = found.select("__row", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
+        hits = cut_lineage(words.join(terms, "term").groupBy("__row").agg(F.array_sort(F.collect_set("word")).alias("__hits")))
+        joined = found.join(hits, "__row", "left")
+    # The words of a row that are terms, in their case, as a pattern of whole words.
+    pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__hits", "|"), F.lit(r")(?!\p{L})"))
+    joined = joined.withColumn("__hits", F.when(F.size("__hits") > 0, pattern))
+    number = KINDS.index("term")
+    placed = f"""array_sort(concat(spans, filter(
+        aggregate(
+            zip_with(regexp_extract_all(__text, __hits, 0), split(__text, __hits, -1), (m, g) -> struct(m, length(g) as gap)),
+            named_struct('at', 0, 'found', cast(array() as array<{_SPAN}>)),
+            (acc, x) -> if(x.m is null, acc, named_struct(
+               'at', acc.at + x.gap + length(x.m),
+               'found', concat(acc.found, array(named_struct('start', acc.at + x.gap, 'kind', {number}, 'end', acc.at + x.gap + length(x.m), 'value', lower(x.m)))))),
+            acc -> acc.found),
+        t -> not exists(spans, s -> t.start < s.end and s.start < t.end))))"""
+    return joined.select("doc_id", "__null", "__doc", "__text", F.when(F.col("__hits").isNull(), F.col("spans")).otherwise(F.expr(placed)).alias("spans"))
 
 
 def _listed(spans: Column) -> Column:
@@ -185,20 +211,15 @@ def sanitise(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Where spans of two kinds overlap, the one that starts first (then by kind) covers both.
     """
-    own = all_spans(docs, key, text).filter("size(spans) > 0").select(F.col("__key").alias("__at"), F.col("spans").alias("__spans")).dropDuplicates(["__at"])
     names = ", ".join(f"'{GENERAL[k]}'" for k in KINDS)
-    source = f"`{text}`"
-    rebuilt = f"""aggregate(__spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
+    rebuilt = f"""aggregate(spans, named_struct('at', 0, 'out', cast(array() as array<string>)),
         (acc, s) -> if(s.end <= acc.at, acc, named_struct('at', s.end, 'out', concat(acc.out, array(
-            substring({source}, acc.at + 1, greatest(s.start - acc.at, 0)), if(s.start < acc.at, '', array({names})[s.kind]))))),
-        acc -> concat(array_join(acc.out, ''), substring({source}, acc.at + 1)))"""
-    # Only texts that hold a match of some pattern meet the spans; the others pass without a shuffle.
-    marked = F.lit(False)
-    for pattern in PATTERNS.values():
-        marked = marked | F.coalesce(F.col(text).rlike(pattern), F.lit(False))
-    keyed = docs.filter(marked).withColumn("__at", F.concat_ws("-", F.xxhash64(text), F.hash(text)))
-    joined = keyed.join(own, "__at", "left").withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(F.expr(rebuilt)))
-    joined = joined.select(*docs.columns).union(docs.filter(~marked))
+            substring(__text, acc.at + 1, greatest(s.start - acc.at, 0)), if(s.start < acc.at, '', array({names})[s.kind]))))),
+        acc -> concat(array_join(acc.out, ''), substring(__text, acc.at + 1)))"""
+    others = tuple(c for c in docs.columns if c != text)
+    rows = all_spans(docs, key, text, others)
+    hidden = F.when(F.col("__null"), F.lit(None)).when(F.size("spans") == 0, F.col("__text")).otherwise(F.expr(rebuilt))
+    out = rows.select(hidden.alias("__out"), "__doc").select(F.col("__out").alias(text), *[F.col("__doc")[c].alias(c) for c in others])
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return joined.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)

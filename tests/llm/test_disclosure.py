@@ -93,3 +93,21 @@ def test_sanitise_rebuilds_the_rest_of_the_text(spark, monkeypatch):
         want.append((i, None if text is None else "".join(out) + text[at:]))
     assert sorted((r.doc_id, r.text or "") for r in rows) == sorted((i, t or "") for i, t in want)
     assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in rows)
+
+
+def test_terms_anywhere_in_a_text_disclose_a_value_seen_twice(spark, monkeypatch):
+    rng = random.Random(4)
+    common = ["the", "house", "river", "stone", "green", "cloud"]
+    say = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    docs = [(i, f"{say(3)} Kalamazoo {say(60)} ann@corp.org {say(40)} KALAMAZOO") for i in range(2)]
+    docs += [(2, f"no value but Kalamazoo {say(20)}")] + [(i, f"{say(9)} u{i}@corp.org {say(6)}") for i in range(10, 40)]
+    # All copies of one text are one piece of evidence.
+    docs += [(i, f"{say(20)}") for i in range(50, 800)] + [(900 + i, "Solitary Hapaxes bob@corp.org") for i in range(5)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    found = {r.doc_id: r for r in disclosure.report(frame).collect()}
+    assert [found[i].n_term for i in (0, 1, 2)] == [2, 2, 1]
+    text = docs[2][1]
+    assert found[2].spans == f"term:{text.find('Kalamazoo')}:{text.find('Kalamazoo') + 9}"
+    assert all(r.n_term == 0 for i, r in found.items() if i >= 10)
+    monkeypatch.setattr(disclosure, "BROADCAST_TERMS", 0)
+    assert all("kalamazoo" not in r.text.lower() for r in disclosure.sanitise(frame).collect())
