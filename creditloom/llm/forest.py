@@ -1,8 +1,9 @@
 """Near-duplicate vectors by a forest of random-projection trees.
 
 Every tree splits by a random direction per level at the node's median; rows within a margin of the cut go to both
-sides (spill). The cuts come from a bounded sample, deeper ones from the centre of the last fitted node, so the depth
-follows the number of rows while the model stays small. Vectors that share a leaf of any tree are compared in
+sides (spill). The cuts come from a bounded sample, deeper ones from the centre and the margin of the last fitted node, so
+the depth follows the number of rows while the model stays small. Trees are added until ``RECALL`` of trial pairs at the
+threshold meet, so their number follows the depth. Vectors that share a leaf of any tree are compared in
 double precision, whole leaf against whole leaf; a pair counts only in the first leaf that both are in, so links are counted
 without ever being listed.
 """
@@ -20,7 +21,11 @@ from creditloom.llm.graph import components
 from creditloom.session import cut_lineage
 
 THRESHOLD = 0.9
+# At least this share of pairs just at the threshold shares a leaf; the fewest and the most trees for it, and the pairs tried.
+RECALL = 0.97
 TREES = 6
+MOST_TREES = 64
+TRIAL_PAIRS = 1_024
 SPILL = 0.12
 LEAF_ROWS = 256
 # Vectors that the cuts are fitted on, and the fewest of them that make a median.
@@ -38,20 +43,23 @@ class Tree:
         rng = np.random.default_rng(seed)
         self.directions = rng.standard_normal((depth, sample.shape[1]))
         self.cuts: dict[int, tuple[float, float, float]] = {}
-        self.centres: dict[int, np.ndarray] = {}
-        self._fit(sample, 1, 0, depth)
+        # Centre of the rows, and the margins below and above a cut in units of the direction's length.
+        self.centres: dict[int, tuple[np.ndarray, float, float]] = {}
+        self.lengths = np.linalg.norm(self.directions, axis=1)
+        self._fit(sample, 1, 0, depth, 0.0, 0.0)
 
-    def _fit(self, rows: np.ndarray, node: int, level: int, depth: int) -> None:
+    def _fit(self, rows: np.ndarray, node: int, level: int, depth: int, under: float, over: float) -> None:
         if level == depth:
             return
         if len(rows) < FIT_ROWS:
-            self.centres[node] = rows.mean(axis=0) if len(rows) else np.zeros(self.directions.shape[1])
+            self.centres[node] = rows.mean(axis=0) if len(rows) else np.zeros(self.directions.shape[1]), under, over
             return
         at = rows @ self.directions[level]
         low, middle, high = np.quantile(at, [0.5 - SPILL / 2, 0.5, 0.5 + SPILL / 2])
         self.cuts[node] = (low, middle, high)
-        self._fit(rows[at <= middle], 2 * node, level + 1, depth)
-        self._fit(rows[at > middle], 2 * node + 1, level + 1, depth)
+        under, over = (middle - low) / self.lengths[level], (high - middle) / self.lengths[level]
+        self._fit(rows[at <= middle], 2 * node, level + 1, depth, under, over)
+        self._fit(rows[at > middle], 2 * node + 1, level + 1, depth, under, over)
 
     def cut(self, node: int, level: int) -> tuple[float, float, float]:
         if node in self.cuts:
@@ -59,8 +67,9 @@ class Tree:
         above = node
         while above not in self.centres and above > 1:
             above >>= 1
-        middle = float(self.centres[above] @ self.directions[level])
-        return middle, middle, middle
+        centre, under, over = self.centres[above]
+        middle, length = float(centre @ self.directions[level]), float(self.lengths[level])
+        return middle - under * length, middle, middle + over * length
 
     def leaves(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs; a row near a cut has several leaves."""
@@ -76,6 +85,33 @@ class Tree:
         return row, node
 
 
+def _meet(tree: Tree, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Per pair of rows, whether some leaf holds both."""
+    leaves: list[set[int]] = [set() for _ in range(2 * len(one))]
+    for row, leaf in zip(*(a.tolist() for a in tree.leaves(np.vstack((one, two))))):
+        leaves[row].add(leaf)
+    return np.array([not a.isdisjoint(b) for a, b in zip(leaves[: len(one)], leaves[len(one) :])], dtype=bool)
+
+
+def grow(sample: np.ndarray, rows: int) -> list[Tree]:
+    """The forest for a number of rows: trees until ``RECALL`` of pairs of a sampled row and one at the threshold's angle meet."""
+    depth = max(0, math.ceil(math.log2(rows / LEAF_ROWS)))
+    rng = np.random.default_rng(SEED)
+    one = sample[rng.permutation(len(sample))[:TRIAL_PAIRS]]
+    if depth == 0 or sample.shape[1] < 2:
+        return [Tree(sample, depth, SEED + t) for t in range(TREES)]
+    away = rng.standard_normal(one.shape)
+    away -= (away * one).sum(axis=1, keepdims=True) * one
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    two = THRESHOLD * one + math.sqrt(1 - THRESHOLD**2) * away
+    forest: list[Tree] = []
+    met = np.zeros(len(one), dtype=bool)
+    while len(forest) < TREES or (met.mean() < RECALL and len(forest) < MOST_TREES):
+        forest.append(Tree(sample, depth, SEED + len(forest)))
+        met |= _meet(forest[-1], one, two)
+    return forest
+
+
 def _unit(raw: list[bytes], dim: int) -> np.ndarray:
     rows = np.frombuffer(b"".join(raw), dtype="<f8").reshape(-1, dim)
     # Scaled first, so that very large or very small components do not overflow the norm.
@@ -174,8 +210,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", embedding: str = "embedd
     for dim, n in sizes.items():
         sample = distinct.filter(F.col("dim") == dim).orderBy("rep").select("vector").limit(SAMPLE_ROWS).collect()
         fitted = _unit([r["vector"] for r in sample], dim)
-        depth = max(0, math.ceil(math.log2(n / LEAF_ROWS)))
-        forests[dim] = [Tree(fitted, depth, SEED + t) for t in range(TREES)]
+        forests[dim] = grow(fitted, n)
     assigned = cut_lineage(
         map_rows(distinct.select("rep", "copies", "dim", "vector"), _assign(forests), "rep long, copies long, dim int, vector binary, leaves array<long>")
     )

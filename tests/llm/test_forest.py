@@ -54,3 +54,25 @@ def test_recall_over_many_leaves(spark, monkeypatch):
     want = int((x @ x.T >= 0.9).sum()) - len(ids)
     found = forest.near_duplicates(table).collect()
     assert 0.95 * want <= sum(r.n_links for r in found) <= want
+
+
+def test_pairs_at_the_threshold_meet_below_the_fitted_levels():
+    rng = np.random.default_rng(3)
+    draw = lambda n: (lambda x: x / np.linalg.norm(x, axis=1, keepdims=True))(rng.standard_normal((n, 64)))
+    # 512 rows fit five levels; a million rows make twelve.
+    trees = forest.grow(draw(512), 1_000_000)
+    assert len(trees[0].directions) == 12 and max(trees[0].cuts) < 2**6
+    one, away = draw(1500), draw(1500)
+    away -= (away * one).sum(axis=1, keepdims=True) * one
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    cosine = rng.uniform(0.9, 0.91, (1500, 1))
+    two = cosine * one + np.sqrt(1 - cosine**2) * away
+    met = np.zeros(1500, dtype=bool)
+    for tree in trees:
+        held = [set() for _ in range(3000)]
+        for row, leaf in zip(*tree.leaves(np.vstack((one, two)))):
+            held[row].add(leaf)
+        met |= np.array([bool(held[i] & held[1500 + i]) for i in range(1500)])
+    assert met.mean() >= 0.95
+    # More rows, deeper trees: their number follows.
+    assert len(forest.grow(draw(512), 2**28)) > len(trees)
