@@ -3,7 +3,8 @@
 Tokens of a page are its tags, by path, and its text runs, by path and wording. Tokens with the same occurrence
 vector over the pages of a host (told apart by sums of page hashes, so no vector is ever gathered) form a class;
 classes on most pages of the host are its template. Their tags give the tree, their runs are constant wording,
-and what remains between them are slots. The text of the slots in the content node is the page's main text.
+and what remains between them are slots. The text of the slots in the content node is the page's main text; article and
+main elements are evidence for the content node, and decide alone only where a host or page gives no template.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none", re.I)
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/@?#]*@)?([^/:?#]+)")
 _WORDS = re.compile(r"[a-z]+")
+_MARKED = re.compile(r"/(?:article|main)([.][a-z]+)?$")
 
 
 def host_of(url: str | None) -> str:
@@ -146,6 +148,11 @@ def _mark(text: str) -> int:
     return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
+def _run(path: str, text: str) -> int:
+    """A text run as a token: its path and wording together."""
+    return _mark(f"{path} {text}") + 1
+
+
 def _count_tokens(batches):
     """(host, path, run, pages, occurrences, two sums that tell occurrence vectors apart, characters below)."""
     held: dict[tuple, list[int]] = {}
@@ -159,9 +166,8 @@ def _count_tokens(batches):
         for page_id, url, page in zip(ids, urls, pages):
             host, own = host_of(url), {("", 0): [1, 0]}
             for path, text, flags in blocks(page):
-                key = (path, 0 if text is None else _mark(text) + 1)
-                if text is None or not flags & 2:
-                    own.setdefault(key, [0, 0])[0] += 1
+                key = (path, 0 if text is None else _run(path, text))
+                own.setdefault(key, [0, 0])[0] += 1
                 if text is not None and not flags & 1:
                     while path:
                         if (path, 0) in own:
@@ -195,16 +201,24 @@ def templates(pages: DataFrame, key: str = "page_id", url: str = "url", source:
         F.collect_list(F.when(F.col("run") > 0, F.col("run"))).alias("runs"),
         F.collect_list(F.when(F.col("run") == 0, F.struct("path", "chars"))).alias("tags"),
     )
+    # Articles that pages hold several of are teasers or replies; what holds them is no article itself.
+    teasers = frequent.filter((F.col("run") == 0) & (F.col("n") > F.col("pages")) & F.col("path").rlike(r"/article(\.[a-z]+)?$"))
+    teasers = teasers.groupBy("host").agg(F.collect_list("path").alias("teasers"))
     content = F.filter(
         "tags",
         lambda t: (F.col("n") == F.col("pages"))
         & (t["chars"] >= CONTENT_SHARE * F.col("all_chars"))
         & F.regexp_extract(t["path"], r"([a-z0-9]+)(\.[a-z]+)?$", 1).isin(*sorted(CONTAINERS)),
     )
-    # The deepest once-a-page container with most of the text; paths of equal depth by name.
-    node = F.array_max(F.transform(content, lambda t: F.struct(F.size(F.split(t["path"], "/")).alias("depth"), t["path"].alias("path"))))
-    return classes.withColumn("node", node).groupBy("host").agg(
-        F.max("node")["path"].alias("content"), F.flatten(F.collect_list("runs")).alias("runs")
+    nodes = classes.select("host", "runs", F.transform(content, lambda t: F.struct(F.size(F.split(t["path"], "/")).alias("depth"), t["path"].alias("path"))).alias("nodes"))
+    found = nodes.groupBy("host").agg(F.flatten(F.collect_list("nodes")).alias("nodes"), F.flatten(F.collect_list("runs")).alias("runs"))
+    # The deepest once-a-page article or main element with most of the text, else the deepest such container; paths of equal depth by name.
+    marked = F.expr(
+        f"""filter(nodes, t -> t.path rlike '{_MARKED.pattern}'
+            and not exists(coalesce(teasers, cast(array() as array<string>)), x -> startswith(x, concat(t.path, '/'))))"""
+    )
+    return found.join(teasers, "host", "left").withColumn("marked", marked).select(
+        "host", F.coalesce(F.array_max("marked"), F.array_max("nodes"))["path"].alias("content"), "runs"
     )
 
 
@@ -214,14 +228,24 @@ def _rows(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
 
 
 def main_text(page: str, content: str | None, runs: frozenset[int]) -> str:
-    """The text of the slots in the content node; of article or main where the page has one."""
+    """The text of the slots in the content node; where the page lacks one, of article or main, else of all slots.
+
+    An article or main element as content node is one slot. In other nodes constant runs are left out, unless they are most of
+    the node's text: then the page is a copy of others, and nothing is.
+    """
     found = [b for b in blocks(page) if b[1] is not None and not b[2] & 1]
-    inside = [text for _, text, flags in found if flags & 2]
-    if not inside:
-        slots = [(path, text) for path, text, _ in found if _mark(text) + 1 not in runs]
-        below = [text for path, text in slots if content and (path == content or path.startswith(content + "/"))]
-        inside = below or [text for _, text in slots]
-    return " ".join(inside)
+    below = [(path, text) for path, text, _ in found if content and (path == content or path.startswith(content + "/"))]
+    if below and _MARKED.search(content):
+        return " ".join(text for _, text in below)
+    if not below:
+        inside = [text for _, text, flags in found if flags & 2]
+        if inside:
+            return " ".join(inside)
+        below = [(path, text) for path, text, _ in found]
+    slots = [text for path, text in below if _run(path, text) not in runs]
+    if 2 * sum(map(len, slots)) < sum(len(text) for _, text in below):
+        slots = [text for _, text in below]
+    return " ".join(slots)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", source: str = "html") -> DataFrame:

@@ -46,3 +46,22 @@ def test_given_pages_give_their_articles(spark):
         runs = [re.sub(r"<[^>]*>", "", re.sub(r"<br>", " ", b)) for b in re.split(r"</?(?:p|h1)>", article)]
         want = " ".join(" ".join(html.unescape(r).split()) for r in runs if r.split())
         assert found[row.page_id] == want
+
+
+def extracted(spark, pages):
+    rows = [(i, f"http://{host}/{i}", f"<html><body>{body}</body></html>") for i, (host, body) in enumerate(pages)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return [r.text for r in pt.extract(frame).orderBy("page_id").collect()]
+
+
+def test_the_template_decides_where_teasers_are_articles_and_pages_are_copies(spark):
+    story = lambda i: f"Story {i} of some length " + f"word{i} " * 60
+    teasers = "".join(f"<article><p>Teaser {k}</p></article>" for k in range(3))
+    pages = [("t.example", f"<main><div class=story><p>{story(i)}</p></div>{teasers}</main>") for i in range(6)]
+    # Half of a host's pages hold the same story.
+    copied = [0, 0, 0, 0, 1, 2, 3]
+    pages += [("c.example", f"<div class=top>Always here</div><div class=story><p>{story(i)}</p></div>") for i in copied]
+    # Without a node for it the body is the content node, and what all pages hold at one place is no content.
+    pages += [("b.example", f"<p>Always here</p><p>{story(i)}</p>") for i in range(6)]
+    found = extracted(spark, pages)
+    assert found == [story(i).strip() for i in [*range(6), *copied, *range(6)]]
