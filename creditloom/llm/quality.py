@@ -7,6 +7,7 @@ how much each counts; the score is that of the weighted passage representation.
 from __future__ import annotations
 
 import zlib
+from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -37,6 +38,11 @@ _CLASSES[128:, 15] = 1
 TRAITS = _CLASSES.shape[1] + 6 + ENDINGS
 
 
+@lru_cache(maxsize=1 << 16)
+def _bucket(ending: str) -> int:
+    return zlib.crc32(ending.encode("utf-8", "surrogatepass")) % ENDINGS
+
+
 def passages(text: str) -> np.ndarray:
     """Traits of all passages of a text; one row of zeros for a text without words."""
     words = text.split()
@@ -54,8 +60,7 @@ def passages(text: str) -> np.ndarray:
         row[19] = n / PASSAGE_WORDS
         row[20] = sum(map(str.isupper, own)) / n
         row[21] = sum(map(str.isalpha, own)) / n
-        endings = [zlib.crc32(w[-2:].encode("utf-8", "surrogatepass")) % ENDINGS for w in own[::4]]
-        row[22:] = np.bincount(endings, minlength=ENDINGS) / len(endings)
+        row[22:] = np.bincount([_bucket(w[-2:]) for w in own], minlength=ENDINGS) / n
     return rows
 
 

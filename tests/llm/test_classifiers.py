@@ -109,3 +109,11 @@ def test_attention_gradients():
         down = loss()
         part[at] = kept
         assert abs((up - down) / (2 * step) - grads[name][at]) < 1e-5, name
+
+
+def test_endings_of_all_words_count():
+    import zlib
+
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i % 7)}" for i in range(64)]
+    want = np.bincount([zlib.crc32(w[-2:].encode()) % quality.ENDINGS for w in words], minlength=quality.ENDINGS) / 64
+    assert np.allclose(quality.passages(" ".join(words))[0, 22:], want)
