@@ -59,7 +59,6 @@ class Automaton:
     first: int = 0
     last: int = 0
     required: list[bytes] = field(default_factory=list)
-    rare: list[bytes] = field(default_factory=list)
 
     def state(self) -> int:
         self.on.append({})
@@ -164,10 +163,6 @@ def scan_words(words: list[bytes], automata: dict[str, Automaton]):
             base[label] = starts
     spans, score = [], 1.0 if base else 0.0
     for label, automaton in automata.items():
-        # A text without one of the mandatory words cannot be accepted; its share of them is its score.
-        present = sum(b" " + w + b" " in joined for w in automaton.rare)
-        if present < len(automaton.rare):
-            continue
         first = automaton.closed({automaton.first})
         opening = {w for s in first for w in automaton.on[s]}
         if any(automaton.any_word[s] for s in first):
@@ -195,9 +190,6 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
     kept. Texts are scanned whole, in place: no shuffle.
     """
     automata = {label: compile_template(markup) for label, markup in sorted((templates or TEMPLATES).items())}
-    for automaton in automata.values():
-        # The longest mandatory words are the rarest; they tell most texts apart without running the automaton.
-        automaton.rare = sorted(set(automaton.required), key=len, reverse=True)[:3]
 
     def run(batches):
         for ids, bodies in batches:

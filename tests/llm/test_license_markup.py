@@ -59,3 +59,10 @@ def test_regions_against_a_regular_expression():
         joined = " ".join(words)
         accepted = [n for n in range(1, len(words) + 1) if pattern.fullmatch(" ".join(words[:n]))]
         assert automaton.longest([w.encode() for w in words], 0)[0] == max(accepted, default=0), joined
+
+
+def test_a_truncated_license_scores_the_share_that_was_followed(spark):
+    full = "one two three four five considerable exceptional unforeseeable"
+    frame = spark.createDataFrame([(1, "x one two three four y"), (2, f"x {full} y"), (3, "x y")], "doc_id long, text string")
+    found = {r.doc_id: (r.score, len(r.spans)) for r in lm.scan(frame, {"t": full}).collect()}
+    assert found == {1: (0.25, 0), 2: (1.0, 1), 3: (0.0, 0)}
