@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from creditloom.llm import disclosure, forest, huffman, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity
+from creditloom.llm import (
+    disclosure, forest, huffman, level_packing, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity,
+)
 from creditloom.llm.base import ready
 from creditloom.session import scratch_path
 
@@ -93,3 +95,8 @@ def op9(spark, sf_dir):
 @query("op10_simhash")
 def op10(spark, sf_dir):
     return simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op12_levels")
+def op12(spark, sf_dir):
+    return level_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
