@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from creditloom.llm import (
-    disclosure, forest, huffman, level_packing, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity,
+    disclosure, forest, hard_negatives, huffman, level_packing, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity,
 )
 from creditloom.llm.base import ready
 from creditloom.session import scratch_path
@@ -100,3 +100,32 @@ def op10(spark, sf_dir):
 @query("op12_levels")
 def op12(spark, sf_dir):
     return level_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+# Every anchor against every row, in whole numbers.
+ANCHORS_BY_ROWS = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same,
+    CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS INTEGER) AS rank,
+  id AS negative_id, positive_score, score AS negative_score
+FROM positives AS p JOIN s ON s.anchor_id = p.anchor_id AND NOT same
+  AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
+@query("op13_segments", ANCHORS_BY_ROWS)
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        hard_negatives.quantised().alias("embedding"),
+    )
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
