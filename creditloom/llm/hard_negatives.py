@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -67,10 +68,10 @@ def store(rows: DataFrame, key: str, label: str, vector: str, anchors: Column) -
     def summed(batches):
         for row, ids, labels, anchor, vectors in batches:
             dims, raw, parts = [len(v) for v in vectors], [], []
-            for v in vectors:
-                one = np.array(v, dtype=np.float64).reshape(1, -1)
-                raw.append(one.tobytes())
-                parts.append(b"".join(p.tobytes() for p in summary(one)))
+            for _, same in groupby(vectors, len):
+                block = np.array(list(same), dtype=np.float64)
+                raw += [v.tobytes() for v in block]
+                parts += [p.tobytes() for p in np.concatenate(summary(block), axis=1)]
             yield [row, ids, labels, anchor, dims, raw, parts]
 
     return cut_lineage(

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from creditloom.llm import (
-    disclosure, forest, hard_negatives, huffman, level_packing, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity,
+    disclosure, forest, hard_negatives, huffman, level_packing, license_markup, packing, page_template, quality, simhash_bk, tiling, toxicity, turn_repair,
 )
 from creditloom.llm.base import ready
 from creditloom.session import scratch_path
@@ -129,3 +129,19 @@ def op13(spark, sf_dir):
         hard_negatives.quantised().alias("embedding"),
     )
     return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
+@query("op11_run_lengths")
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    named = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    damaged = rows.withColumn("damage", F.crc32(named.cast("binary")) % 20).select(
+        "conv_id",
+        "turn",
+        "damage",
+        F.when(F.col("damage") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text")).alias("text"),
+    )
+    return turn_repair.report(
+        damaged, live=F.col("damage") != 0, copies=F.when(F.col("damage") == 3, 2).otherwise(1)
+    )
