@@ -8,16 +8,18 @@ from __future__ import annotations
 
 import os
 import re
-from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Units held per Python worker in each of two generations: a full one becomes the old one, and units that are
-# met again move to the new one. Long units are not held.
-CACHE_UNITS = 400_000
+# Bytes of units and ids that a Python worker holds. When they are exceeded, what was met again since the last time stays,
+# or nothing if that is more than half of them. Long units are not held.
+CACHE_BYTES = 48 << 20
 CACHE_UNIT_CHARS = 128
+# What a held unit takes beside its characters and ids: offsets, sizes and a mark.
+_UNIT_BYTES = 24
 
 # Unicode white space (the property White_Space), written as a character class. Fixed values.
 _WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -69,6 +71,10 @@ def _is_latin(text: str) -> bool:
     return True
 
 
+def _bytes(units: pa.Array, flat: np.ndarray, size: np.ndarray) -> int:
+    return units.nbytes + flat.nbytes + _UNIT_BYTES * len(size)
+
+
 class UnitEncoder:
     """ids of texts as little-endian unsigned 32-bit integers.
 
@@ -81,7 +87,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaces_matter = Tokenizer.from_file(path), spaces_matter
-        self.cache, self.old = {}, {}
+        self._hold(pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(0, np.int32))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _marked(self, text: str) -> str:
@@ -134,38 +140,62 @@ class UnitEncoder:
         for (place, _), coded in zip(held, self._encode([part for _, part in held])):
             found[place] = coded if found[place] is None else found[place] + coded
 
+    def _hold(self, units: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        """The units held, the ids of all of them, and how many each has."""
+        self.units, self.flat, self.size = units, flat, size
+        self.first = np.cumsum(size, dtype=np.int32) - size
+        self.met = np.zeros(len(size), dtype=bool)
+
     def _encode(self, batch: list[str]) -> list[bytes]:
         """ids of texts: distinct units are looked up once, their ids gathered for all places."""
         if not batch:
             return []
         split = pc.split_pattern(pa.array([self._marked(text) for text in batch]), "\0" if self.spaces_matter else " ")
         units = split.flatten().dictionary_encode()
-        coded = self._lookup(units.dictionary.to_pylist())
-        flat = np.frombuffer(b"".join(coded), dtype="<u4")
-        size = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) >> 2
+        flat, first, size = self._lookup(units.dictionary)
         index = units.indices.to_numpy()
         own = size[index]
-        ends = np.cumsum(own)
-        first = (np.cumsum(size) - size)[index]
-        ids = flat[np.repeat(first - (ends - own), own) + np.arange(ends[-1] if len(ends) else 0)]
+        ends = np.cumsum(own, dtype=np.int32)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = flat[np.repeat(first[index] - ends + own, own) + np.arange(total, dtype=np.int32)]
         cuts = np.concatenate(([0], ends))[split.offsets.to_numpy()].tolist()
         return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
 
-    def _lookup(self, units: list[str]) -> list[bytes]:
-        cache, old = self.cache, self.old
-        unseen = [unit for unit in units if unit not in cache]
-        if old:
-            again = [unit for unit in unseen if unit in old]
-            cache.update(zip(again, map(old.__getitem__, again)))
-            unseen = [unit for unit in unseen if unit not in old]
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            cache.update(zip(part, [array("I", one.ids).tobytes() for one in made]))
-        coded = list(map(cache.__getitem__, units))
-        for unit in unseen:
-            if len(unit) > CACHE_UNIT_CHARS:
-                del cache[unit]
-        if len(cache) > CACHE_UNITS:
-            self.cache, self.old = {}, cache
-        return coded
+    def _lookup(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of the first, number) of distinct units; those not held are encoded."""
+        place = pc.index_in(units, value_set=self.units).to_numpy(zero_copy_only=False)
+        unseen = np.isnan(place) if place.dtype.kind == "f" else np.zeros(len(place), dtype=bool)
+        place = np.nan_to_num(place).astype(np.int32)
+        self.met[place[~unseen]] = True
+        if not unseen.any():
+            return self.flat, self.first[place], self.size[place]
+        fresh = units.filter(pa.array(unseen))
+        made, texts = [], fresh.to_pylist()
+        for at in range(0, len(texts), 4096):
+            made += [one.ids for one in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False)]
+        size = np.fromiter(map(len, made), dtype=np.int32, count=len(made))
+        flat = np.fromiter(chain.from_iterable(made), dtype=np.uint32, count=int(size.sum()))
+        place[unseen] = len(self.size) + np.arange(len(made), dtype=np.int32)
+        flat, size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        first = np.cumsum(size, dtype=np.int32) - size
+        self._learn(fresh, flat, size)
+        return flat, first[place], size[place]
+
+    def _learn(self, fresh: pa.Array, flat: np.ndarray, size: np.ndarray) -> None:
+        """Hold new units that are short; when all are too large, let go of those not met again."""
+        old = len(self.size)
+        short = pc.less_equal(pc.utf8_length(fresh), CACHE_UNIT_CHARS).to_numpy(zero_copy_only=False)
+        units, met = pa.concat_arrays([self.units, fresh]), np.concatenate([self.met, np.zeros(len(short), dtype=bool)])
+
+        def held(keep: np.ndarray) -> tuple:
+            return units.filter(pa.array(keep)), flat[np.repeat(keep, size)], size[keep]
+
+        kept, marks = np.concatenate([np.ones(old, dtype=bool), short]), met
+        if _bytes(units, flat, size) > CACHE_BYTES:
+            kept, marks = kept & met, np.zeros(len(met), dtype=bool)
+        made = (units, flat, size) if kept.all() else held(kept)
+        if _bytes(*made) > CACHE_BYTES // 2 and not kept.all() and marks is not met:
+            kept = np.zeros(len(met), dtype=bool)
+            made = held(kept)
+        self._hold(*made)
+        self.met = marks[kept]
