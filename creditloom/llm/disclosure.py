@@ -192,7 +192,7 @@ def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tu
     words = found.select("digest", F.explode("words").alias("word")).withColumn("term", F.lower("word"))
     hits = words.join(terms, "term").groupBy("digest").agg(F.array_sort(F.collect_set("word")).alias("__words"))
     hits = cut_lineage(hits)
-    joined = rows.withColumn("digest", F.md5(F.col("__text").cast("binary"))).join(hits, "digest", "left")
+    joined = rows.withColumn("digest", F.md5(F.col("__text").cast("binary"))).join(hits.hint("merge"), "digest", "left")
     # The words of a row that are terms, in their case, as a pattern of whole words.
     pattern = F.concat(F.lit(r"(?<!\p{L})(?:"), F.array_join("__words", "|"), F.lit(r")(?!\p{L})"))
     joined = joined.withColumn("__hits", F.when(F.size("__words") > 0, pattern))
