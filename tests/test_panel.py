@@ -128,8 +128,9 @@ def random_reports(seed):
     return out
 
 
-@pytest.mark.parametrize("seed", [4, 5, 6])
-def test_asof_equals_range_join(spark, seed):
+@pytest.mark.parametrize("seed, block", [(4, 64), (5, 64), (6, 1), (7, 2), (8, 5)])
+def test_asof_equals_range_join(spark, monkeypatch, seed, block):
+    monkeypatch.setattr(asof, "BLOCK", block)
     data = random_reports(seed)
     df = spark.createDataFrame(data, "id long, run date, rep date, terminal string")
     refs = {(i, run) for i, run, _, _ in data} | {
@@ -158,6 +159,18 @@ def test_asof_equals_range_join(spark, seed):
     assert len(found) == len(set(found)) and set(found) == kept
 
 
+def test_rebuild_as_of_exchanges_its_rows_once(spark, frame):
+    df = frame("id long, run date, rep date, terminal string, x int", (1, "2015-03-01", "2015-02-05", "N", 4), (None, "2015-03-01", "2015-02-05", "N", 5))
+    built = asof.rebuild_as_of(df, "id", "run", "rep", "terminal")
+    assert rows(built, "id", "ref_date", "run", "x") == [(1, dt.date(2015, 3, 1), dt.date(2015, 3, 1), 4)]
+    plan = built._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    # Only the copy ahead of a block's end lies below the exchange.
+    assert plan.split("Exchange ")[1].count("Generate ") == 1
+    chosen = asof.asof_latest_report(df, "id", "run", "rep")._jdf.queryExecution().executedPlan().toString()
+    assert chosen.split("== Initial Plan ==")[-1].count("Exchange ") == 1
+
+
 @pytest.mark.parametrize("seed", [7, 8])
 def test_stay_duration_equals_triangular_join(spark, seed):
     rng = random.Random(seed)
