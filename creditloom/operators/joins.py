@@ -12,8 +12,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from creditloom.functions import geo
-
 NULL_SALTS = 256
 
 
@@ -101,14 +99,27 @@ def full_merge(
 ) -> DataFrame:
     """Full outer join; keys and shared attributes come from whichever side has them; zero fill.
 
-    A NULL key never matches, so such rows of both sides survive separately.
+    A left join and the right side's remainder in place of a full join: AQE splits a hot key of either,
+    but never one of a full outer join. A NULL key never matches, so such rows of both sides survive separately.
     """
     a, b = left.alias("a"), right.alias("b")
     condition = reduce(lambda x, y: x & y, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
-    both = [F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in [*keys, *shared]]
-    own_a = [F.col(f"a.{c}") for c in left.columns if c not in {*keys, *shared}]
-    own_b = [F.col(f"b.{c}") for c in right.columns if c not in {*keys, *shared}]
-    return a.join(b, condition, "full").select(*both, *own_a, *own_b).fillna(0)
+    named = {*keys, *shared}
+    own_a = [c for c in left.columns if c not in named]
+    own_b = [c for c in right.columns if c not in named]
+    matched = a.join(b, condition, "left").select(
+        *[F.col(f"a.{k}").alias(k) for k in keys],
+        *[F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in shared],
+        *[F.col(f"a.{c}") for c in own_a],
+        *[F.col(f"b.{c}") for c in own_b],
+    )
+    rest = b.join(left.select(*keys).alias("a"), condition, "left_anti")
+    remainder = rest.select(
+        *[F.col(f"b.{c}") for c in [*keys, *shared]],
+        *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in own_a],
+        *[F.col(f"b.{c}") for c in own_b],
+    )
+    return matched.unionByName(remainder).fillna(0)
 
 
 def merge_products(
@@ -171,39 +182,3 @@ def address_override(
     return out.withColumnsRenamed(
         {**{c: c + suffix for c in columns}, **{f"__adj_{c}": c for c in columns}}
     )
-
-
-# One scalar subquery carries at most this many coordinates (16 bytes each).
-SITE_BLOCK = 20_000
-
-
-def min_distance(
-    units: DataFrame,
-    sites: DataFrame,
-    lat: str = "latitude",
-    lon: str = "longitude",
-    name: str = "distance_min",
-) -> DataFrame:
-    """Distance of every unit to its nearest site in km; NULL without sites.
-
-    The distinct site coordinates travel as an array literal from a scalar subquery, so units are
-    never paired up in a join and never shuffled.  The number of sites is checked first; beyond
-    one block the sites are split by hash and the best runs over the blocks.  The largest cosine
-    belongs to the nearest site, so the angle itself is only taken once per unit.
-    """
-    points = sites.select(lat, lon).dropna().distinct()
-    blocks = max(1, -(-points.count() // SITE_BLOCK))
-    out, best = units, []
-    for block in range(blocks):
-        part = points.where(F.pmod(F.hash(lat, lon), F.lit(blocks)) == block)
-        packed = part.agg(F.collect_list(F.struct(lat, lon)).alias("points")).scalar()
-        out = out.withColumn(f"__sites_{block}", packed)
-        per_site = F.transform(
-            f"__sites_{block}",
-            lambda s: geo.cosine(F.col(lat), F.col(lon), s.getField(lat), s.getField(lon)),
-        )
-        best.append(F.array_max(per_site))
-    closest = F.greatest(*best) if blocks > 1 else best[0]
-    # LEAST skips NULL, so no site must be told apart from a coincident one.
-    distance = F.when(closest.isNotNull(), geo.km_of_cosine(closest))
-    return out.withColumn(name, distance).drop(*[f"__sites_{b}" for b in range(blocks)])

@@ -7,23 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from creditloom.functions.dates import MONTH, Step
+from creditloom.session import cut_lineage
 
 
-def unit_ids(df: DataFrame, name: str, id_name: str = "unit_id", prefix: int = 2) -> DataFrame:
+def unit_ids(df: DataFrame, name: str, id_name: str = "unit_id") -> DataFrame:
     """Dense ids 1…n in sorted name order, without sorting everything in one task.
 
-    Names are ranked inside their leading-characters bucket; only the bucket counts are
-    accumulated globally, and they number at most the distinct prefixes.
+    Names are dealt to tasks by ranges of their order and numbered within each; a range then starts at the
+    number of names before it, a running sum over one row per task. Ranges follow the names that there are, so a prefix that
+    many names share is split like any other. The numbered names are written, as both steps must see the same ranges.
     """
-    names = df.select(name).dropna().distinct().withColumn("__b", F.substring(name, 1, prefix))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        names.groupBy("__b")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .select("__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    names = df.select(name).dropna().distinct()
+    placed = names.repartitionByRange(name).sortWithinPartitions(name)
+    # Row numbers of a task start at its number times 2^33.
+    numbered = cut_lineage(placed.withColumn("__at", F.monotonically_increasing_id()))
+    task = F.shiftright("__at", 33).alias("__task")
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = numbered.groupBy(task).agg(F.count(F.lit(1)).alias("__n")).select(
+        "__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset")
     )
-    rank = F.row_number().over(Window.partitionBy("__b").orderBy(name))
-    return names.join(offsets, "__b").select(
+    rank = F.col("__at") - F.shiftleft("__task", 33) + 1
+    return numbered.withColumn("__task", task).join(offsets, "__task").select(
         name, (rank + F.col("__offset")).cast("int").alias(id_name)
     )
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from creditloom.functions import credit, dates, geo
-from creditloom.operators import clean, joins, tenure
+from creditloom.operators import clean, joins, spatial, tenure
 from creditloom.plans.study import STUDY, Study
 
 LOCATION = ["fsa", "encrypted_ldu"]
@@ -23,10 +23,7 @@ def postal_table(geography: DataFrame, damaged: DataFrame, study: Study = STUDY)
         region.alias("fsa"), unit.alias("ldu"), "province", "latitude", "longitude"
     )
     sites = codes.where(F.col("fsa").rlike(study.treated_regions))
-    # The lookup is one small file, but each code is measured against every site: spread it by the
-    # key it is grouped by next, over a fixed number of tasks that AQE does not fold.
-    tasks = codes.sparkSession.sparkContext.defaultParallelism
-    measured = joins.min_distance(codes.repartition(tasks, "fsa", "ldu"), sites)
+    measured = spatial.min_distance(codes, sites)
     in_scope = F.col("province").rlike("|".join(study.province_names))
     nearest = measured.groupBy("fsa", "ldu").agg(
         F.min(F.when(in_scope, F.col("distance_min"))).alias("distance_min")

@@ -214,8 +214,9 @@ def all_consumer_loans(
     panel: DataFrame,
     study: Study = STUDY,
     materialise: Callable[[DataFrame], DataFrame] = lambda df: df,
+    store: Callable[[DataFrame], DataFrame] | None = None,
 ) -> dict[str, DataFrame]:
-    """Consumer-product panels of all families, by column prefix.
+    """Consumer-product panels of all families, by column prefix; ``store`` keeps them, if not ``materialise``.
 
     The families do not depend on each other, so their stages are submitted side by side and
     share the cluster instead of leaving it idle at the end of each stage.
@@ -228,7 +229,7 @@ def all_consumer_loans(
     def one(product: str) -> DataFrame:
         cleaned = clean_accounts(sampled, None, product, study, lines, materialise)
         adjusted = time_adjust(cleaned, panel, product, study, materialise)
-        return materialise(consumer_loans(adjusted, product))
+        return (store or materialise)(consumer_loans(adjusted, product))
 
     with ThreadPoolExecutor(len(PREFIX)) as pool:
         return dict(zip(PREFIX.values(), pool.map(one, PREFIX)))

@@ -63,3 +63,54 @@ def ingest_with_warmup(
     if end is not None:
         loaded = loaded.where(F.col(date) < F.lit(end))
     return derive(loaded).where(F.col(date) >= F.lit(start))
+
+
+# The partition column of loaded tables: the first day of a row's period.
+PERIOD = "__period"
+
+
+def _with_period(df: DataFrame, date: str, step: Step) -> DataFrame:
+    return df.withColumn(PERIOD, F.date_format(step.floor(F.col(date)), "yyyy-MM-dd"))
+
+
+def _put(df: DataFrame, path: str) -> None:
+    """Replace exactly the periods that the rows belong to."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PERIOD).parquet(path)
+
+
+def read_loaded(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A loaded table, with its period as text; an empty one is fine."""
+    return spark.read.schema(StructType([*schema.fields]).add(PERIOD, "string")).parquet(path)
+
+
+def load_range(
+    rows: DataFrame,
+    table: str,
+    state: str,
+    date: str,
+    start: dt.date,
+    end: dt.date,
+    derive: Callable[[DataFrame], DataFrame],
+    warmup: int = 1,
+    step: Step = MONTH,
+) -> None:
+    """Load the periods of [start, end) into a table partitioned by period, from their own rows and a stored state only.
+
+    A derivation that looks back ``warmup`` periods needs the last of them before ``start`` as context. Each load keeps its own
+    last periods, as they came, in the state table, so the next one reads these and not the history. Both tables are
+    overwritten by period: a load that runs again, also an old one after newer ones, or one that failed half way, leaves what a
+    single run leaves. Loads come in order the first time; a first load has no context. A period that had rows
+    and has none any more is not touched. Rows without a date belong to no period.
+    """
+    spark = rows.sparkSession
+    first, last = F.lit(start), F.lit(end)
+    new = rows.where((F.col(date) >= first) & (F.col(date) < last))
+    # Makes the state readable before the first load; an existing one stays as it is.
+    _with_period(rows.limit(0), date, step).write.mode("ignore").partitionBy(PERIOD).parquet(state)
+    since = F.date_format(step.floor(step.shift(first, -warmup)), "yyyy-MM-dd")
+    before = read_loaded(spark, state, rows.schema).where(
+        (F.col(PERIOD) >= since) & (F.col(PERIOD) < F.date_format(step.floor(first), "yyyy-MM-dd"))
+    )
+    derived = derive(before.drop(PERIOD).unionByName(new)).where(F.col(date) >= first)
+    _put(_with_period(derived, date, step), table)
+    _put(_with_period(new.where(F.col(date) >= step.shift(last, -warmup)), date, step), state)

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from creditloom.operators import balances, clean, joins, quality, region, reshape, status
+from creditloom.operators import balances, clean, joins, quality, region, reshape, spatial, status
+from creditloom.session import cut_lineage
 from tests.conftest import rows, tidy
 
 c = F.col
@@ -55,23 +56,46 @@ def brute(units, sites):
     return [min(km(u, s) for s in sites) for u in units]
 
 
-@pytest.mark.parametrize("block", [5, 20_000])
-def test_min_distance_over_blocks(spark, monkeypatch, block):
-    monkeypatch.setattr(joins, "SITE_BLOCK", block)
-    rng = random.Random(1)
-    units = [(rng.uniform(49, 60), rng.uniform(-120, -101)) for _ in range(40)]
-    sites = [(rng.uniform(56, 57), rng.uniform(-112, -111)) for _ in range(23)]
+def _random_places(rng, spread):
+    """Places of one kind: a province, the whole sphere, around a pole, on both sides of the date line, one town."""
+    return {
+        "province": lambda: (rng.uniform(49, 60), rng.uniform(-120, -101)),
+        "sphere": lambda: (rng.uniform(-90, 90), rng.uniform(-180, 180)),
+        "pole": lambda: (rng.choice([90.0, -90.0, rng.uniform(89, 90), rng.uniform(-90, -89)]), rng.uniform(-180, 180)),
+        "date line": lambda: (rng.uniform(-1, 1), rng.choice([180.0, -180.0, rng.uniform(179, 180), rng.uniform(-180, -179)])),
+        "town": lambda: (rng.uniform(56.70, 56.71), rng.uniform(-111.41, -111.40)),
+    }[spread]()
+
+
+@pytest.mark.parametrize(
+    "of_units, of_sites",
+    [("province", "province"), ("sphere", "sphere"), ("pole", "pole"), ("date line", "date line"), ("sphere", "town"), ("town", "sphere"), ("town", "town")],
+)
+def test_min_distance_equals_brute_force(spark, of_units, of_sites):
+    rng = random.Random(f"{of_units} {of_sites}")
+    units = [_random_places(rng, of_units) for _ in range(60)]
+    sites = [_random_places(rng, of_sites) for _ in range(40)]
+    units += [sites[0], units[0]]
     schema = "latitude double, longitude double"
-    u = spark.createDataFrame([(i, *p) for i, p in enumerate(units)], "i int, " + schema)
-    out = joins.min_distance(u, spark.createDataFrame(sites, schema))
-    got = [r.distance_min for r in out.orderBy("i").collect()]
-    assert got == pytest.approx(brute(units, sites), abs=1e-5)
+    u = spark.createDataFrame([(i, *p) for i, p in enumerate(units)] + [(99, None, 1.0)], "i int, " + schema)
+    out = spatial.min_distance(u, spark.createDataFrame([*sites, (None, 2.0)], schema))
+    got = {r.i: r.distance_min for r in out.collect()}
+    assert got.pop(99) is None
+    assert [got[i] for i in range(len(units))] == pytest.approx(brute(units, sites), abs=2e-4)
     assert out.columns == ["i", "latitude", "longitude", "distance_min"]
 
 
+def test_few_site_cells_are_left_for_a_unit(spark):
+    rng = random.Random(3)
+    sites = spark.createDataFrame([_random_places(rng, "province") for _ in range(3000)], "latitude double, longitude double")
+    units = spark.createDataFrame([_random_places(rng, "province") for _ in range(200)], "latitude double, longitude double")
+    pairs = spatial._nearest_cells(spatial._points(units, "latitude", "longitude"), spatial._points(sites, "latitude", "longitude"))
+    assert pairs.count() < 10 * 200
+
+
 def test_min_distance_without_sites(spark):
     u = spark.createDataFrame([(50.0, -110.0)], "latitude double, longitude double")
-    assert joins.min_distance(u, u.where("latitude < 0")).first().distance_min is None
+    assert spatial.min_distance(u, u.where("latitude < 0")).first().distance_min is None
 
 
 def test_checked_broadcast_leaves_large_lookups_alone(spark):
@@ -138,6 +162,45 @@ def test_unit_ids_follow_the_sorted_names(spark):
     assert got == {n: i + 1 for i, n in enumerate(sorted(names))}
 
 
+def test_unit_ids_split_a_shared_prefix(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(reshape, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    df = spark.range(20_000).select(F.format_string("same prefix %06d", "id").alias("fsa"))
+    ids = reshape.unit_ids(df, "fsa")
+    wrong = ids.where("unit_id <> cast(substr(fsa, 13) as int) + 1").count()
+    tasks = written[0].select(F.shiftright("__at", 33)).distinct().count()
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    assert wrong == 0 and ids.count() == 20_000 and tasks > 8
+
+
+def test_full_merge_splits_a_hot_key(spark):
+    """A third of either side's work on one key runs in several tasks."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.shuffle.partitions": "16",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    hot = F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id"))
+    a = spark.range(0, 40_000, numPartitions=12).select(hot.alias("k"), F.md5(F.col("id").cast("string")).alias("x"))
+    b = spark.range(30_000, 70_000, numPartitions=12).where("id % 2 = 1").select(F.col("id").alias("k"), F.md5(F.col("id").cast("string")).alias("y"))
+    out = joins.full_merge(a, b, ["k"])
+    n = len(out.collect())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert n == 40_000 + 15_000
+    assert "FullOuter" not in plan and "skew=true" in plan
+
+
 def test_sample_takes_whole_entities_whatever_the_layout(spark):
     df = spark.range(5000).select((c("id") % 1000).alias("k"), "id")
     a = reshape.sample_entities(df, "k", 0.2, 1983)

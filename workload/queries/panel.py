@@ -278,7 +278,7 @@ def index_to_base(inp):
 )
 def unit_ids(inp):
     rows = inp("fsa_quarter").select("fsa", "run_date")
-    ids = reshape.unit_ids(rows, "fsa", "unit_no", prefix=8)
+    ids = reshape.unit_ids(rows, "fsa", "unit_no")
     return rows.join(ids, "fsa").withColumn("date_num", F.unix_date("run_date"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from creditloom.operators import region
 from creditloom.plans import consumers, regions, trades
 from creditloom.plans.study import STUDY
-from creditloom.session import cut_lineage
+from creditloom.session import colocate, cut_lineage
 from workload import bureau_sql as sql
 from workload.queries.aggregates import active_sql, insured_sql, region_ctes
 from workload.registry import query, rounded
@@ -50,7 +50,10 @@ def loans(inp, panel, product):
 
 
 def all_loans(inp, panel):
-    return trades.all_consumer_loans(inp("bureau_account"), panel, FIXTURE, cut_lineage)
+    """Loans of all families, next to each other by consumer and month, as they are merged on both."""
+    return trades.all_consumer_loans(
+        inp("bureau_account"), panel, FIXTURE, cut_lineage, lambda df: colocate(df, ["tu_consumer_id", "ref_date"])
+    )
 
 
 @query(
@@ -136,7 +139,7 @@ PANEL_CTES = f"{ALL}, {sql.merged()}, {ACTIVE}, {region_ctes('df_active')}, {KEE
 
 
 def bureau_region_panel(inp):
-    panel = cut_lineage(consumer_panel(inp))
+    panel = colocate(consumer_panel(inp), ["tu_consumer_id", "run_date"])
     individuals = regions.individual_panel(panel, all_loans(inp, panel), FIXTURE)
     return regions.region_panel(individuals, FIXTURE)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from creditloom.functions import credit, dates, geo
-from creditloom.operators import joins
+from creditloom.operators import joins, spatial
 from workload.registry import query, r
 
 c = F.col
@@ -273,7 +273,7 @@ def postal_split(inp):
 def nearest_site_distance(inp):
     units = inp("bureau_geo")
     sites = units.where(c("pstlcode").startswith("T9"))
-    near = joins.min_distance(units, sites)
+    near = spatial.min_distance(units, sites)
     return near.select("pstlcode", r(c("distance_min"), 4).alias("distance_min"))
 
 
