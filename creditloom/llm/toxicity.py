@@ -8,8 +8,10 @@ group, the name is swapped for others of its set, and the change of the score is
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from creditloom.llm.base import crc_mod, map_rows, ready, texts
@@ -60,17 +62,22 @@ def text_features(text: str) -> set[str]:
     return found
 
 
-def swaps(text: str) -> list[tuple[list[str], list[str]]]:
-    """Features that a swap takes from a sentence and those that it brings, per identity term of the sentence."""
-    changed = []
+def swaps(text: str) -> dict[tuple[tuple[str, ...], tuple[str, ...]], int]:
+    """Features that a swap takes from a sentence and those that it brings, with how often they are swapped so.
+
+    Each identity term gives way to every other of its set, and to a stand-in without features: equal terms could all be raised together,
+    while a mention that may not change a score against none at all must weigh nothing.
+    """
+    changed: dict = {}
     for sentence in _SENTENCE.findall(text.lower()):
         words = set(_WORD.findall(sentence))
         for name in words & _OTHERS.keys():
             rest = set().union(*(features_of(w) for w in words - {name}))
-            for other in _OTHERS[name]:
-                gone, come = set(features_of(name)) - rest, set(features_of(other)) - rest
+            for other in (*_OTHERS[name], None):
+                gone, come = set(features_of(name)) - rest, set(features_of(other) if other else ()) - rest
                 if gone != come:
-                    changed.append((sorted(gone - come), sorted(come - gone)))
+                    pair = tuple(sorted(gone - come)), tuple(sorted(come - gone))
+                    changed[pair] = changed.get(pair, 0) + 1
     return changed
 
 
@@ -135,7 +142,8 @@ def fit(rows: list[tuple[int, list[int], list]], names: list[str]) -> Model:
         return Model({}, 0.0)
     owner = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
     column = np.array([c for r in rows for c in r[1]], dtype=np.int64)
-    pairs = [p for r in rows for p in r[2]]
+    pairs = [p[:2] for r in rows for p in r[2]]
+    times = np.array([p[2] for r in rows for p in r[2]], dtype=float)
     pair_owner = np.array([i for i, (gone, come) in enumerate(pairs) for _ in (*gone, *come)], dtype=np.int64)
     pair_column = np.array([c for gone, come in pairs for c in (*gone, *come)], dtype=np.int64)
     pair_sign = np.array([s for gone, come in pairs for s in (*[1.0] * len(gone), *[-1.0] * len(come))])
@@ -152,8 +160,8 @@ def fit(rows: list[tuple[int, list[int], list]], names: list[str]) -> Model:
         error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels)
         grad = np.bincount(column, weights=error[owner], minlength=size) + DECAY * w
         if pairs:
-            change = np.bincount(pair_owner, weights=pair_sign * w[pair_column], minlength=len(pairs))
-            grad += SWAP_PENALTY / len(pairs) * np.bincount(pair_column, weights=pair_sign * change[pair_owner], minlength=size)
+            change = times * np.bincount(pair_owner, weights=pair_sign * w[pair_column], minlength=len(pairs))
+            grad += SWAP_PENALTY / times.sum() * np.bincount(pair_column, weights=pair_sign * change[pair_owner], minlength=size)
         whole = np.append(grad, error.sum())
         m, v = 0.9 * m + 0.1 * whole, 0.99 * v + 0.01 * whole**2
         move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -190,12 +198,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     def coded(batches):
         for ids, tags, bodies in batches:
             found = [sorted(number[f] for f in text_features(b) if f in number) for b in bodies]
-            changed = [[(([number[f] for f in gone if f in number]), [number[f] for f in come if f in number]) for gone, come in swaps(b)] for b in bodies]
-            yield [ids, tags, found, [[{"gone": g, "come": c} for g, c in own] for own in changed]]
-
-    schema = "id long, label int, found array<int>, swaps array<struct<gone: array<int>, come: array<int>>>"
+            changed = [
+                [{"gone": [number[f] for f in gone if f in number], "come": [number[f] for f in come if f in number], "times": n} for (gone, come), n in swaps(b).items()]
+                for b in bodies
+            ]
+            yield [ids, tags, found, changed]
+
+    # A row holds at most the chosen features, and the pairs of terms of a set that share features with a sentence or not.
+    schema = "id long, label int, found array<int>, swaps array<struct<gone: array<int>, come: array<int>, times: int>>"
     rows = map_rows(labelled.select("__id", "label", "__text"), coded, schema).orderBy("id", "label").limit(FIT_ROWS).collect()
-    return fit([(r["label"], r["found"], [(s["gone"], s["come"]) for s in r["swaps"]]) for r in rows], names)
+    return fit([(r["label"], r["found"], [(s["gone"], s["come"], s["times"]) for s in r["swaps"]]) for r in rows], names)
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -226,13 +238,17 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that are not toxic, in their own columns; the rejected go."""
+    """The documents that are not toxic, in their own columns; the rejected go.
+
+    A null or empty text is scored by the model's bias; repeated rows share their fate; an empty table gives no rows.
+    """
     model = train(docs, labels)
     weights, bias = {f: w for f, w in model.weights.items() if w}, model.bias
 
     @F.pandas_udf("double")
-    def toxic(bodies):
+    def toxic(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Model(weights, bias)
-        return bodies.map(own.score)
+        for bodies in batches:
+            yield bodies.map(own.score)
 
     return docs.filter(toxic(F.coalesce(F.col(text), F.lit(""))) < threshold)
