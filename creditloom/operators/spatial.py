@@ -16,7 +16,7 @@ from creditloom.functions import geo
 from creditloom.session import cut_lineage
 
 # Bits of a cell number per axis, level by level. The finest cells measure about 400 m.
-LEVELS = (3, 6, 9, 12, 15)
+LEVELS = (4, 8, 12, 15)
 _AXES = ("x", "y", "z")
 
 
@@ -43,7 +43,7 @@ def _inside(child: str, parent: str, bits: int) -> Column:
 
 def _nearest_cells(units: DataFrame, sites: DataFrame) -> DataFrame:
     """(ux, uy, uz, sx, sy, sz): for each finest cell of units, the cells that may hold the nearest site of one of them."""
-    # All cells lie in one of level 0; a level has at most 512 in each cell of the one before.
+    # All cells lie in one of level 0; a level has a few hundred occupied ones in each cell of the one before.
     whole = [F.lit(0).alias(side + axis) for side in "us" for axis in _AXES]
     pairs, before = units.sparkSession.range(1).select(*whole), 0
     per_cell = Window.partitionBy("ux", "uy", "uz")
