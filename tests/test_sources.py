@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from creditloom import session
 from creditloom.functions.dates import MONTH
-from creditloom.operators import status
+from creditloom.operators import balances, joins, status
 from creditloom.sources import panels, schemas
 from tests.conftest import rows
 from tests.test_panel import SCHEMA, month, random_accounts, run_status
@@ -77,3 +77,45 @@ def test_shards_with_warm_up_equal_one_run(spark):
         for a, b in zip(cuts, cuts[1:])
     ]
     assert sorted(sum((rows(p) for p in parts), []), key=lambda t: tuple(map(str, t))) == whole
+
+
+def test_a_load_reads_its_own_rows_and_the_state(spark, tmp_path):
+    accounts = spark.createDataFrame(random_accounts(5), SCHEMA)
+    whole = run_status(accounts)
+    table, state = str(tmp_path / "table"), str(tmp_path / "state")
+    starts = [month(i) for i in range(0, 37, 6)]
+
+    def load(start, end):
+        # Nothing but the rows of the load is at hand.
+        own = accounts.where((F.col("d") >= start) & (F.col("d") < end))
+        panels.load_range(own, table, state, "d", start, end, run_status, step=MONTH)
+
+    def loaded():
+        return rows(panels.read_loaded(spark, table, whole.schema).select(*whole.columns))
+
+    for start, end in zip(starts, starts[1:]):
+        load(start, end)
+    expected = rows(whole.where((F.col("d") >= starts[0]) & (F.col("d") < starts[-1])))
+    assert expected and loaded() == expected
+    load(starts[1], starts[2])
+    load(starts[0], starts[1])
+    assert loaded() == expected
+    kept = spark.read.parquet(state).select(panels.PERIOD).distinct().count()
+    assert kept <= len(starts) - 1
+
+
+def test_stored_products_merge_without_an_exchange(spark):
+    keys = ["id", "m"]
+    base = spark.range(200).select((F.col("id") % 40).alias("id"), (F.col("id") % 5).alias("m"), F.col("id").alias("x")).dropDuplicates(keys)
+    stored = session.colocate(base, keys)
+    products = {
+        name: balances.rollup_consumer(session.colocate(base.select("id", F.col("m").alias("ref"), F.col("x").alias(name)), ["id", "ref"]).withColumnRenamed("ref", "m"), keys, [name])
+        for name in ("a", "b")
+    }
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    out = joins.merge_products(stored, products, keys)
+    found, plan = rows(out), out._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange" not in plan and "SortMergeJoin" in plan
+    assert found == rows(joins.merge_products(base, {n: base.select(*keys, F.col("x").alias(n)) for n in ("a", "b")}, keys))
