@@ -198,10 +198,10 @@ def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tu
     joined = joined.withColumn("__hits", F.when(F.size("__words") > 0, pattern))
     email = _sql(PATTERNS["email"])
     starts = _before("parts", "length(x.p) + coalesce(length(x.m), 0)", "{a} + {b}")
-    inside = _located("q.p", "__hits", KINDS.index("term"), "true", "at")
+    inside = _located("q.p", "__hits", KINDS.index("term"), "true", "base")
     parts = f"""if(contains(__text, '@'), zip_with(split(__text, {email}, -1), regexp_extract_all(__text, {email}, 0), (p, m) -> struct(p, m)),
         array(named_struct('p', __text, 'm', cast(null as string))))"""
-    terms_of = _let("parts", parts, f"flatten(zip_with(parts, {starts}, (q, at) -> {inside}))")
+    terms_of = _let("parts", parts, f"flatten(zip_with(parts, {starts}, (q, base) -> {inside}))")
     both = f"array_sort(concat(spans, {terms_of}))"
     return joined.select(
         "doc_id", "__null", "__doc", "__text", F.when(F.col("__hits").isNull(), F.col("spans")).otherwise(F.expr(both)).alias("spans")

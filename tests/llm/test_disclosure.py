@@ -1,6 +1,8 @@
 import hashlib
+import math
 import random
 import re
+import time
 
 from creditloom.llm import disclosure
 
@@ -110,3 +112,72 @@ def test_terms_anywhere_in_a_text_disclose_a_value_seen_twice(spark):
     assert found[2].spans == f"term:{text.find('Kalamazoo')}:{text.find('Kalamazoo') + 9}"
     assert all(r.n_term == 0 for i, r in found.items() if i >= 10)
     assert all("kalamazoo" not in r.text.lower() for r in disclosure.sanitise(frame).collect())
+
+
+def brute_terms(texts):
+    """The revealing words of a corpus whose only values are e-mail addresses, by the definition."""
+    email, word = re.compile(PLAIN["email"]), re.compile(r"[^\W\d_]{3,}")
+    holders, values = {}, {}
+    for row, text in enumerate(texts):
+        for w in {w.lower() for w in word.findall(email.sub(" ", text))}:
+            holders.setdefault(w, set()).add(row)
+        matches = list(email.finditer(text))
+        for i, m in enumerate(matches):
+            before = text[matches[i - 1].end() if i else 0 : m.start()][-80:]
+            behind = text[m.end() : matches[i + 1].start() if i + 1 < len(matches) else len(text)][:80]
+            values.setdefault(m[0].lower(), {}).setdefault(row, (before, behind))
+    total, terms = len(texts), set()
+    tried = math.log(len(holders)) + math.log(len(values))
+    for rows in values.values():
+        n_value, n = len(rows), len(set(rows.values()))
+        for term, held in holders.items():
+            both = held & rows.keys()
+            if not both or n_value == total:
+                continue
+            k, q = len({rows[r] for r in both}), len(held) / total
+            a = k / n
+            rest = (1 - a) * math.log((1 - a) / (1 - q)) if k < n else 0.0
+            chance = -n * (a * math.log(a / q) + rest) if a > q else 0.0
+            share = math.log2(total * len(both) / (n_value * len(held))) / math.log2(total / n_value)
+            if share >= disclosure.DISCLOSURE and tried + chance <= math.log(disclosure.CHANCE):
+                terms.add(term)
+    return terms
+
+
+def test_terms_equal_the_definition(spark):
+    rng = random.Random(11)
+    words = [f"{a}{b}{c}en" for a in "bdfgkl" for b in "aeiou" for c in "mnrst"]
+    names = ["Orlando", "Zürich", "Ångström", "Quito", "Lagos", "Oslo"]
+    texts = []
+    for i in range(900):
+        parts = [rng.choice(words) for _ in range(rng.randint(0, 25))]
+        person = rng.randrange(40)
+        if rng.random() < 0.4:
+            parts.insert(rng.randint(0, len(parts)), rng.choice(["Ann", "ann"]) + f"{person}@corp.org")
+            if person < 6 and rng.random() < 0.95:
+                parts.insert(rng.randint(0, len(parts)), names[person] if rng.random() < 0.7 else names[person].upper())
+        texts.append(" ".join(parts))
+    texts += texts[:40]
+    expected = brute_terms(texts)
+    assert 3 <= len(expected & {n.lower() for n in names})
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in disclosure.report(docs).collect()}
+    word = re.compile(r"[^\W\d_]+")
+    for i, text in enumerate(texts):
+        inside = [(m.start(), m.end()) for m in re.finditer(PLAIN["email"], text)]
+        want = [
+            f"term:{m.start()}:{m.end()}" for m in word.finditer(text)
+            if m[0].lower() in expected and not any(a <= m.start() < b for a, b in inside)
+        ]
+        assert [s for s in found[i].split(",") if s.startswith("term")] == want
+
+
+def test_many_matches_take_linear_time(spark):
+    texts = ["12, " * 500_000, "4111111111111111, " * 30_000, "ann@x.org " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    start = time.time()
+    found = {r.doc_id: (r.n_email, r.n_card) for r in disclosure.report(docs).collect()}
+    hidden = {r.doc_id: r.text for r in disclosure.sanitise(docs).collect()}
+    assert time.time() - start < 120
+    assert found == {0: (0, 0), 1: (0, 30_000), 2: (30_000, 0)}
+    assert hidden == {0: texts[0], 1: "[CARD], " * 30_000, 2: "[EMAIL] " * 30_000}
