@@ -10,7 +10,7 @@ def page(body, extra=""):
 
 
 def test_article_text_of_odd_markup():
-    text = lambda p: pt.main_text(p, None, frozenset())
+    text = lambda p: pt.main_text(p)
     assert text(page("<p><b>One  \n two<br>three<p>Four</p>")) == 'Head & tail" One two three Four'
     assert text(page("<p>A<b>B</b>C &#233;&am")) == 'Head & tail" ABC é&am'
     assert text(page("<p>x<aside>side</aside>y</p><form>f</form><p>z")) == 'Head & tail" x y z'
@@ -65,3 +65,77 @@ def test_the_template_decides_where_teasers_are_articles_and_pages_are_copies(sp
     pages += [("b.example", f"<p>Always here</p><p>{story(i)}</p>") for i in range(6)]
     found = extracted(spark, pages)
     assert found == [story(i).strip() for i in [*range(6), *copied, *range(6)]]
+
+
+def optional_furniture():
+    """Pages whose furniture has no telling name, stands at the edges of the story, and is on some pages only.
+
+    Two pieces are on equally many, but not the same pages, in either order.
+    """
+    one, two = "<div class=qx><p>Piece one says so</p></div>", "<section class=zz><p>Piece two says so</p></section>"
+    pages = []
+    for i in range(12):
+        first = one if i < 8 else ""
+        second = two if i >= 4 else ""
+        edges = second + first if i % 2 else first + second
+        pages.append(("f.example", f"<div class=kk>Top {i}</div><div class=uu>{edges}<p>Story {i} {f'word{i} ' * 90}</p></div>"))
+    return pages, [f"Story {i} {f'word{i} ' * 90}".strip() for i in range(12)]
+
+
+def test_occurrence_vectors_find_optional_furniture_without_telling_names(spark, monkeypatch):
+    pages, want = optional_furniture()
+    assert extracted(spark, pages) == want
+    # Without their vectors all tokens are one class, which the pages contradict: there is no such template.
+    monkeypatch.setattr(pt, "MODULUS", 1)
+    assert extracted(spark, pages) != want
+
+
+def test_classes_are_ordered_and_nested(spark):
+    rows = [(i, f"http://n.example/{i}", f"<body><ul>{f'<li><i>x</i>{i}</li>' * (i + 1)}</ul><div class=s><h2>Part</h2>{i}<h3>End</h3></div></body>") for i in range(5)]
+    found = pt.classes(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    # body, ul, div, h2 and h3 with their ends and wordings are one class, the list items one in the gap behind its ul.
+    by_class = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        by_class.setdefault(r["class"], []).append(r)
+    assert [len(by_class[k]) for k in sorted(by_class)] == [12, 2]
+    assert {(r.around, r.gap) for r in by_class[0]} == {(-1, -1)} and {(r.around, r.gap) for r in by_class[1]} == {(0, 1)}
+
+
+def test_faults_of_classes():
+    known = {1: (0, 0), 2: (0, 1), 3: (0, 2), 7: (1, 0), 8: (1, 1)}
+    assert pt.faults([1, 2, 9, 3], known) == (set(), set(), {0: {(-1, -1)}})
+    assert pt.faults([1, 7, 8, 2, 7, 8, 3], known) == (set(), set(), {0: {(-1, -1)}, 1: {(0, 0), (0, 1)}})
+    # A token out of order leaves; classes that cross lose the weaker; instances that overlap or miss a token are none.
+    assert pt.faults([2, 3, 1], known)[0] == {1}
+    assert pt.faults([1, 2, 7, 3, 8], known)[1] == {1} and pt.faults([7, 1, 8, 2, 3], known)[1] == {1}
+    assert pt.faults([7, 7, 8, 8], known)[1] == {1} and pt.faults([1, 2], known)[1] == set()
+    assert pt.faults([1, 1, 2, 3], known)[1] == {0}
+
+
+def test_longest_ascending_part():
+    from itertools import combinations, permutations
+
+    for places in permutations(range(5)):
+        left = [p for i, p in enumerate(places) if i not in pt.out_of_order(list(places))]
+        best = max(k for k in range(6) for c in combinations(places, k) if list(c) == sorted(c))
+        assert left == sorted(left) and len(left) == best
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    n = 50_000
+    hostile = ['<a "' * 250_000, "<div>x" * n, "<b>" * n + "<div></div>" * n, "<div>" * n + "</i>" * n, "<" * 1_000_000, "<p>" + "<script>" * n, "&" * 500_000]
+    for page in hostile:
+        start = time.perf_counter()
+        pt.main_text(page)
+        assert time.perf_counter() - start < 5
+    tracemalloc.start()
+    pt.events(hostile[1])
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_text_beside_an_inline_advert_stays():
+    assert pt.main_text("<p>one <span class=ad>Buy</span> two</p>") == "one two"
