@@ -8,8 +8,10 @@ against every other, which is the N × (N − 1) weight table it returns.
 from __future__ import annotations
 
 import datetime as dt
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -222,7 +224,6 @@ def fit(
 
 
 COLUMNS = ("variant", "job", "kind", "donor", "predictor", "weight", "loss")
-CONF_COLUMNS = ("variant", "lower", "upper", "status")
 
 
 def _frame(rows: list[dict], columns: Sequence[str]) -> pd.DataFrame:
@@ -408,28 +409,144 @@ def conf_coefs(
     )
 
 
-CONF_SCHEMA = "variant string, lower double, upper double, status string"
+def _nonnegative(a: Column, b: Column, k: Column) -> Column:
+    """Where a + 2bc + kc² ≥ 0: an array of closed (lo, hi), for coefficients that are not null."""
+    inf, none = F.lit(float("inf")), F.lit(None).cast("double")
+    d = b * b - a * k
+    q = -(b + F.when(b < 0, -1.0).otherwise(1.0) * F.sqrt(F.greatest(d, F.lit(0.0))))
+    one, two = F.try_divide(q, k), F.coalesce(F.try_divide(a, q), F.lit(0.0))
+    low, high = F.least(one, two), F.greatest(one, two)
+    line = F.try_divide(-a, 2.0 * b)
+
+    def spans(*ends: tuple[Column, Column]) -> Column:
+        return F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in ends])
+
+    never = F.filter(spans((none, none)), lambda x: x["lo"].isNotNull())
+    return (
+        F.when((k > 0) & (d > 0), spans((-inf, low), (high, inf)))
+        .when((k > 0) | ((k == 0) & (b == 0) & (a >= 0)), spans((-inf, inf)))
+        .when((k < 0) & (d >= 0), spans((low, high)))
+        .when((k == 0) & (b > 0), spans((line, inf)))
+        .when((k == 0) & (b < 0), spans((-inf, line)))
+        .otherwise(never)
+    )
+
+
+def _rejected(coefs: DataFrame, own: DataFrame, phi: float, level: Column) -> DataFrame:
+    """(variant, lo, hi, at_lo, at_hi): the open intervals of parameters that are rejected, and whether their ends are too.
+
+    A unit is at least as extreme as the treated one where a quadratic is not negative. The ends of these spans are summed
+    per place, and running counts over the places tell how many units are as extreme at a place and behind it.
+    """
+    c = F.col
+    # Multiplied with both mean squares, so that a perfect fit before treatment is as extreme as can be.
+    a, b, k = (c(n) * c("own_pre_ms") - c(f"own_{n}") * c("pre_ms") for n in ("a", "b", "k"))
+    moves = (c("a") > 0) | (c("k") > 0)
+    known = ~F.isnan(a + b + k) & (a + b + k).isNotNull() & ((c("pre_ms") > 0) | moves)
+    rows = coefs.join(own, VARIANT).withColumn("spans", F.when(known, _nonnegative(a, b, k)))
+    rows = rows.select(VARIANT, "v", F.explode("spans").alias("span"))
+    ends = F.array(
+        F.struct(c("span.lo").alias("x"), F.lit(1).alias("begins"), F.lit(0).alias("ends")),
+        F.struct(c("span.hi").alias("x"), F.lit(0).alias("begins"), F.lit(1).alias("ends")),
+    )
+    rows = rows.select(VARIANT, "v", F.explode(ends).alias("e"))
+    # Both ends of the line are places, whoever begins or ends there.
+    edges = F.transform(F.array(F.lit(float("-inf")), F.lit(float("inf"))), lambda x: F.struct(x.alias("x"), F.lit(0).alias("begins"), F.lit(0).alias("ends")))
+    rows = rows.unionByName(own.select(VARIANT, F.lit(0).alias("v"), F.explode(edges).alias("e")))
+    names = [f"{kind}_{v}" for kind in ("begins", "ends") for v in (0, 1)]
+    places = rows.groupBy(VARIANT, c("e.x").alias("x")).agg(
+        *[F.sum(F.when(c("v") == int(n[-1]), c(f"e.{n[:-2]}")).otherwise(0)).alias(n) for n in names]
+    )
+    upward = Window.partitionBy(VARIANT).orderBy("x")
+    so_far = upward.rowsBetween(Window.unboundedPreceding, 0)
+
+    def rejected(at_place: bool) -> Column:
+        held = [
+            F.sum(c(f"begins_{v}") - c(f"ends_{v}")).over(so_far) + (c(f"ends_{v}") if at_place else F.lit(0)) for v in (0, 1)
+        ]
+        odds = math.exp(phi)
+        return (held[0] + held[1] * odds) / (c("n_0") + c("n_1") * odds) <= c("level")
+
+    totals = own.select(VARIANT, "n_0", "n_1", level.alias("level"))
+    states = places.join(totals, VARIANT).select(VARIANT, "x", rejected(True).alias("at_lo"), rejected(False).alias("behind"))
+    ahead = {"hi": F.lead("x").over(upward), "at_hi": F.lead("at_lo").over(upward)}
+    return states.withColumns(ahead).where(c("behind") & c("hi").isNotNull()).select(VARIANT, c("x").alias("lo"), "hi", "at_lo", "at_hi")
+
+
+def _steps(rejected: Column, start: Column, unit_step: Column, limit: Column, precision: int) -> Column:
+    """Furthest place from ``start`` upward by steps of unit_step · 2^−power, each size repeated while the next place is not rejected."""
+
+    def let(value, use):
+        """``use`` of a value that is computed once."""
+        return F.transform(F.array(value), use)[0]
+
+    def first_hit(x, bound, step):
+        """Number of the first step that ends in a rejected interval."""
+        steps = F.greatest(F.lit(0.0), F.least((x["lo"] - bound) / step, F.lit(1e15)))
+        first = let(steps, lambda n: F.greatest(F.lit(1.0), F.ceil(n) + F.when(x["at_lo"] | (F.ceil(n) > n), 0).otherwise(1)).cast("double"))
+
+        def inside(j):
+            place = bound + j * step
+            return F.when((place < x["hi"]) | (x["at_hi"] & (place == x["hi"])), j)
+
+        return let(first, inside)
+
+    def refine(bound, power):
+        step = unit_step * F.pow(F.lit(0.5), power.cast("double"))
+        hit = F.array_min(F.transform(rejected, lambda x: first_hit(x, bound, step)))
+        # Without a rejected place ahead, and beyond the limit, there is no bound.
+        moved = let(hit, lambda j: F.coalesce(bound + (j - 1.0) * step, F.lit(float("inf"))))
+        return let(moved, lambda m: F.when((m > bound) & (F.abs(m) > limit), F.lit(float("inf"))).otherwise(m))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(precision)), start.cast("double"), refine)
 
 
 def conf_set(
     coefs: DataFrame, treated: int, family: str, precision: int = 30, phi: float = 0.0,
     v: Column | None = None, unit: str = "unit_id", significance: float | None = None,
 ) -> DataFrame:
-    """Bounds of the confidence set by test inversion; a group holds four numbers per unit."""
+    """(variant, lower, upper, status): bounds of the confidence set by test inversion.
+
+    Where a unit is as extreme as the treated one are spans between roots, so the whole set of rejected parameters is known
+    from sorted ends; the published search, with steps from 1 to 2^−precision on each side, is then replayed on it.
+    A unit with a missing statistic is never extreme; without exactly one treated unit there are no bounds.
+    """
     if precision != int(precision) or precision < 0 or phi < 0 or family not in FAMILIES:
         raise ValueError("precision must be a whole number, precision and phi must not be negative; family must be known")
     if significance is not None and not 0 < significance < 1:
         raise ValueError("significance must lie between 0 and 1")
-    rows = coefs.withColumn("v", (F.lit(0) if v is None else v).cast("double"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        lower, upper, status = simplex.invert_test(
-            pdf, (pdf[unit] == treated).to_numpy(), family, precision, phi, significance
-        )
-        bounds = {"lower": lower, "upper": upper, "status": status}
-        return _frame([{"variant": pdf[VARIANT].iloc[0], **bounds}], CONF_COLUMNS)
-
-    return rows.groupBy(VARIANT).applyInPandas(search, CONF_SCHEMA)
+    c = F.col
+    v = (F.lit(0) if v is None else v).cast("double")
+    checked = F.when(v.isin(0.0, 1.0), v.cast("int")).otherwise(F.raise_error(F.lit("v must be 0 or 1 for every unit")).cast("int"))
+    rows = coefs.select(VARIANT, "a", "b", "k", "pre_ms", "start", checked.alias("v"), F.coalesce(c(unit) == treated, F.lit(False)).alias("is_own"))
+    numbers = ("a", "b", "k", "pre_ms", "start")
+    sizes = [F.sum(F.when(c("v") == i, 1).otherwise(0)).alias(f"n_{i}") for i in (0, 1)]
+    own = rows.groupBy(VARIANT).agg(
+        *[F.max(F.when(c("is_own"), c(n))).alias(f"own_{n}") for n in numbers], *sizes, F.sum(c("is_own").cast("int")).alias("n_own")
+    )
+    finite = [c(f"own_{n}").isNotNull() & (F.abs(f"own_{n}") < float("inf")) & ~F.isnan(f"own_{n}") for n in ("a", "b", "k")]
+    n = c("n_0") + c("n_1")
+    level = F.ceil(F.lit(0.05) * n) / n if significance is None else F.lit(float(significance))
+    intervals = _rejected(rows.drop("start"), own.drop("own_start"), phi, level)
+    intervals = intervals.groupBy(VARIANT).agg(F.collect_list(F.struct("lo", "hi", "at_lo", "at_hi")).alias("rejected"))
+    found = own.join(intervals, VARIANT, "left").withColumns({
+        "rejected": F.coalesce("rejected", F.array().cast("array<struct<lo: double, hi: double, at_lo: boolean, at_hi: boolean>>")),
+        "known": (c("n_own") == 1) & reduce(Column.__and__, finite),
+    })
+    start, one, limit = c("own_start"), F.lit(1.0), F.lit(1e6)
+    if family != "uniform":
+        # Constant and linear sets move by multiples of the start value's size.
+        one, limit = F.abs(start), 100.0 * F.abs(start)
+    mirrored = F.transform("rejected", lambda x: F.struct((-x["hi"]).alias("lo"), (-x["lo"]).alias("hi"), x["at_hi"].alias("at_lo"), x["at_lo"].alias("at_hi")))
+    hits = F.exists("rejected", lambda x: ((x["lo"] < start) & (start < x["hi"])) | (x["at_lo"] & (start == x["lo"])) | (x["at_hi"] & (start == x["hi"])))
+    early = F.when(~c("known"), "no treated unit").when(hits, "empty").when(one == 0, "degenerate")
+    found = found.withColumns({"early": early, "mirrored": mirrored}).withColumns({
+        "upper": F.when(c("early").isNull(), _steps(c("rejected"), start, one, limit, precision)),
+        "lower": F.when(c("early").isNull(), -_steps(c("mirrored"), -start, one, limit, precision)),
+    })
+    bounded = (F.abs("lower") < float("inf")) & (F.abs("upper") < float("inf"))
+    status = F.coalesce("early", F.when(bounded, "found").otherwise("unbounded"))
+    return found.select(VARIANT, *[F.when(bounded, c(e)).alias(e) for e in ("lower", "upper")], status.alias("status"))
 
 
 def conf_band(

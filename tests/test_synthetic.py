@@ -199,9 +199,110 @@ def test_arguments_are_checked(spark):
         synthetic.conf_set(coefs, 1, "cubic")
 
 
-def test_empty_confidence_set_is_reported():
+def invert_test(
+    pdf: pd.DataFrame, own: np.ndarray, family: str, precision: int, phi: float,
+    significance: float | None,
+) -> tuple[float, float, str]:
+    """Plain definition: widest parameters not rejected, refining the step from 1 to 2^−precision on each side."""
+    a, b, k, pre = (pdf[c].to_numpy(dtype=float) for c in ("a", "b", "k", "pre_ms"))
+    odds = np.exp(phi * pdf["v"].to_numpy(dtype=float))
+    n = len(pdf)
+    if not np.isin(pdf["v"].to_numpy(dtype=float), (0.0, 1.0)).all():
+        raise ValueError("v must be 0 or 1 for every unit")
+    if own.sum() != 1 or not np.isfinite(pdf.loc[own, ["a", "b", "k"]].to_numpy(dtype=float)).all():
+        return np.nan, np.nan, "no treated unit"
+    alpha = np.ceil(0.05 * n) / n if significance is None else significance
+    # Non-treated units carry no start value.
+    start = float(np.nanmax(np.where(own, pdf["start"].to_numpy(dtype=float), np.nan)))
+
+    def accepted(c: float) -> bool:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = (a + 2.0 * b * c + k * c * c) / pre
+        extreme = ratio >= ratio[own][0]
+        return odds[extreme].sum() / odds.sum() > alpha
+
+    if not accepted(start):
+        return np.nan, np.nan, "empty"
+    # Constant and linear sets move by multiples of the start value's size.
+    unit_step = 1.0 if family == "uniform" else abs(start)
+    limit = 1e6 if family == "uniform" else 100.0 * abs(start)
+    if unit_step == 0.0:
+        return np.nan, np.nan, "degenerate"
+    ends = []
+    for sign in (-1.0, 1.0):
+        bound = start
+        for power in range(precision + 1):
+            step = sign * unit_step * 0.5**power
+            while accepted(bound + step):
+                bound += step
+                if abs(bound) > limit:
+                    return np.nan, np.nan, "unbounded"
+        ends.append(bound)
+    return ends[0], ends[1], "found"
+
+
+COEFS = "variant string, unit_id int, a double, b double, k double, pre_ms double, start double, v int"
+
+
+def both_searches(spark, coefs, family, precision, phi=0.0):
+    """Bounds by the plain search per variant, and those of the sweep."""
+    own = (coefs["unit_id"] == 1).to_numpy()
+    plain = {
+        name: invert_test(part, own[part.index], family, precision, phi, None) for name, part in coefs.groupby("variant")
+    }
+    frame = spark.createDataFrame(coefs.astype(object).where(coefs.notna(), None).values.tolist(), COEFS)
+    swept = {r.variant: (r.lower, r.upper, r.status) for r in synthetic.conf_set(frame, 1, family, precision, phi, c("v")).collect()}
+    return plain, swept
+
+
+@pytest.mark.parametrize("family, phi", [("uniform", 0.0), ("uniform", 0.8), ("constant", 0.0), ("linear", 0.3)])
+def test_confidence_sets_equal_the_plain_search(spark, family, phi):
+    rng = np.random.default_rng(len(family) + int(10 * phi))
+    parts = []
+    for i in range(40):
+        n = int(rng.integers(2, 45))
+        gap, slope = rng.normal(0, 1 + i % 3, (n, 4)), rng.normal(0, 0.4, (n, 1)) * np.ones((1, 4))
+        slope[0], gap[0] = -1.0, gap[0] + (i % 5)
+        if i % 4 == 0:
+            slope[1:] *= rng.random((n - 1, 1)) < 0.5
+        part = pd.DataFrame({"variant": f"v{i:02}", "unit_id": range(1, n + 1), "a": (gap**2).mean(1), "b": (gap * slope).mean(1), "k": (slope**2).mean(1)})
+        part["pre_ms"] = rng.gamma(2.0, 1.0, n)
+        part["start"] = [gap[0].mean() if family != "uniform" else 0.0] + [None] * (n - 1)
+        part["v"] = rng.integers(0, 2, n)
+        if i % 7 == 3:
+            part.loc[n - 1, "pre_ms"] = 0.0
+        if i % 7 == 5 and n > 3:
+            part.loc[n - 2, ["a", "b", "k"]] = None
+        parts.append(part)
+    plain, swept = both_searches(spark, pd.concat(parts, ignore_index=True), family, 20, phi)
+    assert plain.keys() == swept.keys() and len({s for *_, s in plain.values()}) > 1
+    for name, (lower, upper, status) in plain.items():
+        assert swept[name][2] == status, name
+        if status == "found":
+            assert swept[name][:2] == pytest.approx((lower, upper), abs=1e-9)
+        else:
+            assert swept[name][:2] == (None, None)
+
+
+def test_confidence_sets_run_no_python_and_know_odd_inputs(spark, capsys):
+    unit = lambda u, a, b, k, pre, start=0.0, v=0: ("x", u, a, b, k, pre, start, v)
+    found = lambda *rows: synthetic.conf_set(spark.createDataFrame(rows, COEFS), 1, "constant", 3, v=c("v"))
+    own, other = unit(1, 1.0, -1.0, 1.0, 1.0, 1.0), unit(2, 2.0, 0.0, 0.0, 1.0)
+    found(own, other).explain("formatted")
+    assert "Python" not in capsys.readouterr().out and "Pandas" not in str(found(own, other)._jdf.queryExecution())
+    assert found(own, own, other).first().status == "no treated unit" and found(other).first().status == "no treated unit"
+    assert found(unit(1, 1.0, -1.0, 1.0, None, 1.0), other).first().status == "empty"
+    assert found(unit(1, 1.0, 0.0, 1.0, 1.0, 0.0), other).first().status == "degenerate"
+    assert found().collect() == []
+    with pytest.raises(Exception, match="v must be 0 or 1"):
+        found(own, unit(2, 2.0, 0.0, 0.0, 1.0, 0.0, 2)).collect()
+
+
+def test_empty_confidence_set_is_reported(spark):
     pdf = pd.DataFrame({"a": [9.0, 1.0, 1.0], "b": [0.0] * 3, "k": [0.0] * 3, "pre_ms": [1.0] * 3, "start": [0.0] * 3, "v": [0.0] * 3})
-    assert simplex.invert_test(pdf, np.array([True, False, False]), "uniform", 3, 0.0, None)[2] == "empty"
+    assert invert_test(pdf, np.array([True, False, False]), "uniform", 3, 0.0, None)[2] == "empty"
+    pdf = pdf.assign(variant="v", unit_id=[1, 2, 3])
+    assert synthetic.conf_set(spark.createDataFrame(pdf), 1, "uniform", 3, v=c("v")).first().status == "empty"
 
 
 def test_a_study_without_its_treated_unit_is_not_significant(spark):
@@ -209,7 +310,9 @@ def test_a_study_without_its_treated_unit_is_not_significant(spark):
     for row in synthetic.placebo_pvalue(stats, 1).collect():
         assert (row.pvalue, row.reject, row.status) == (None, None, "no treated unit")
     pdf = pd.DataFrame({k: [1.0, 2.0] for k in ("a", "b", "k", "pre_ms", "start")} | {"v": [0.0, 0.0]})
-    assert simplex.invert_test(pdf, np.array([False, False]), "uniform", 3, 0.0, None)[2] == "no treated unit"
+    assert invert_test(pdf, np.array([False, False]), "uniform", 3, 0.0, None)[2] == "no treated unit"
+    pdf = pdf.assign(variant="v", unit_id=[2, 3])
+    assert synthetic.conf_set(spark.createDataFrame(pdf), 1, "uniform", 3, v=c("v")).first().status == "no treated unit"
 
 
 def test_a_perfect_fit_before_treatment_is_as_extreme_as_can_be(spark):
