@@ -135,46 +135,46 @@ def unit_holes(
 
 
 def placebo_jobs(units: DataFrame, unit: str = "unit_id") -> DataFrame:
-    """One fit per unit, each with all other units as donors: (variant, job, unit, is_treated)."""
-    jobs = units.select(VARIANT, F.col(unit).alias("job"))
-    return units.select(VARIANT, unit).join(jobs, VARIANT).select(
+    """One fit per unit, each with all other units as donors: (variant, job, treated, dropped)."""
+    return units.select(
         VARIANT,
-        F.col("job").cast("string").alias("job"),
-        unit,
-        F.when(F.col(unit) == F.col("job"), 1).otherwise(0).alias("is_treated"),
+        F.col(unit).cast("string").alias("job"),
+        F.col(unit).cast("long").alias("treated"),
+        F.lit(None).cast("long").alias("dropped"),
     )
 
 
 def treated_job(units: DataFrame, treated: int, unit: str = "unit_id") -> DataFrame:
-    """The single job that fits the treated unit."""
-    return units.select(
-        VARIANT,
-        F.lit(str(treated)).alias("job"),
-        unit,
-        F.when(F.col(unit) == treated, 1).otherwise(0).alias("is_treated"),
-    )
+    """The single job of each variant that fits the treated unit; it fails where that unit is missing."""
+    one = units.select(VARIANT).distinct().withColumn("__unit", F.lit(treated))
+    return placebo_jobs(one, "__unit")
 
 
 def leave_one_out_jobs(
     units: DataFrame, weights: DataFrame, treated: int, unit: str = "unit_id", tolerance: float = 1e-6
 ) -> DataFrame:
     """One fit of the treated unit per donor with a positive weight, without that donor."""
-    dropped = weights.where(
-        (F.col("job") == str(treated)) & (F.col("weight") > tolerance)
-    ).select(VARIANT, F.col("donor").alias("dropped"))
-    return (
-        treated_job(units, treated, unit)
-        .join(dropped, VARIANT)
-        .where(F.col(unit) != F.col("dropped"))
-        .withColumn("job", F.concat("job", F.lit("-"), F.col("dropped").cast("string")))
-        .drop("dropped")
+    used = weights.where((F.col("job") == str(treated)) & (F.col("weight") > tolerance))
+    present = units.select(VARIANT, F.col(unit).alias("donor"))
+    return used.join(present, [VARIANT, "donor"], "left_semi").select(
+        VARIANT,
+        F.concat(F.lit(f"{treated}-"), F.col("donor").cast("string")).alias("job"),
+        F.lit(treated).cast("long").alias("treated"),
+        F.col("donor").cast("long").alias("dropped"),
     )
 
 
 def pack_units(
-    predictor_rows: DataFrame, outcome_rows: DataFrame, unit: str = "unit_id", date: str = "run_date"
+    predictor_rows: DataFrame,
+    outcome_rows: DataFrame,
+    units: DataFrame | None = None,
+    unit: str = "unit_id",
+    date: str = "run_date",
 ) -> DataFrame:
-    """One row per unit with its predictor vector and its pre-treatment outcome vector."""
+    """One row per unit with its predictor vector and its pre-treatment outcome vector.
+
+    ``units`` are those that take part in the fits, if not all.
+    """
     x = predictor_rows.groupBy(VARIANT, unit).agg(
         F.array_sort(F.collect_list(F.struct("predictor", "value"))).alias("x")
     )
@@ -183,7 +183,10 @@ def pack_units(
         .groupBy(VARIANT, unit)
         .agg(F.array_sort(F.collect_list(F.struct(date, "y"))).alias("y"))
     )
-    return x.join(y, [VARIANT, unit]).select(
+    both = x.join(y, [VARIANT, unit])
+    if units is not None:
+        both = both.join(units, [VARIANT, unit], "left_semi")
+    return both.select(
         VARIANT,
         unit,
         F.col("x.predictor").alias("names"),
@@ -194,8 +197,9 @@ def pack_units(
 
 FIT_SCHEMA = (
     "variant string, job string, kind string, donor long, predictor string, weight double, "
-    "loss double"
+    "loss double, converged boolean"
 )
+COLUMNS = ("variant", "job", "kind", "donor", "predictor", "weight", "loss", "converged")
 
 
 def fit(
@@ -207,23 +211,31 @@ def fit(
 ) -> DataFrame:
     """Donor weights (kind 'w') and predictor weights (kind 'v') of every job.
 
-    One group holds the N unit vectors of one fit.  The explicit partition count keeps AQE from
-    folding these small but compute-heavy groups into one task.  A fit that fails yields a single
-    row of kind 'failed'.
+    A job is one row. The jobs of a variant are dealt to ``tasks`` parts, and the packed units of the variant
+    go once to each part: bytes grow with units × parts, not with units × jobs, and the jobs of a part share one
+    matrix and its Gram matrix. A task holds the N unit vectors that any single fit needs. The explicit partition
+    count keeps AQE from folding these small but compute-heavy groups into one task. A fit that fails yields a single
+    row of kind 'failed'; ``converged`` tells whether the searches of the others met their stop rule.
     """
     tasks = tasks or jobs.sparkSession.sparkContext.defaultParallelism
-    rows = jobs.join(packed, [VARIANT, unit]).repartition(tasks, VARIANT, "job")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([unit])
-        head = {"variant": pdf[VARIANT].iloc[0], "job": pdf["job"].iloc[0]}
-        result = simplex.fit_group(pdf, unit, nested)
-        return _frame([{**head, **row} for row in result], COLUMNS)
-
-    return rows.groupBy(VARIANT, "job").applyInPandas(solve, FIT_SCHEMA)
-
-
-COLUMNS = ("variant", "job", "kind", "donor", "predictor", "weight", "loss")
+    part = "__part"
+    dealt = jobs.withColumn(part, F.pmod(F.xxhash64("job"), F.lit(tasks)).cast("int"))
+    # Under another name: both frames may come from the same panel.
+    named = packed.select(F.col(VARIANT).alias("__of"), *[c for c in packed.columns if c != VARIANT])
+    copies = named.withColumn(part, F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def solve(mine: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        units = simplex.UnitMatrix(vectors, unit)
+        rows = []
+        for job in mine.itertuples():
+            dropped = None if pd.isna(job.dropped) else int(job.dropped)
+            head = {"variant": job.variant, "job": job.job}
+            rows += [{**head, **row} for row in simplex.fit_job(units, int(job.treated), dropped, nested)]
+        return _frame(rows, COLUMNS)
+
+    left = dealt.repartition(tasks, VARIANT, part).groupBy(VARIANT, part)
+    right = copies.repartition(tasks, "__of", part).groupBy("__of", part)
+    return left.cogroup(right).applyInPandas(solve, FIT_SCHEMA)
 
 
 def _frame(rows: list[dict], columns: Sequence[str]) -> pd.DataFrame:
@@ -251,10 +263,12 @@ def failed_units(fitted: DataFrame) -> DataFrame:
 
 def uniform_weights(units: DataFrame, unit: str = "unit_id") -> DataFrame:
     """Equal donor weights for every unit; the reference point for checks."""
-    pairs = placebo_jobs(units, unit).where(F.col("is_treated") == 0)
+    jobs = units.select(VARIANT, F.col(unit).alias("__job"))
+    both = units.select(VARIANT, F.col(unit).alias("donor")).join(jobs, VARIANT)
+    pairs = both.where(F.col("donor") != F.col("__job")).select(VARIANT, F.col("__job").cast("string").alias("job"), "donor")
     sizes = pairs.groupBy(VARIANT, "job").agg(F.count(F.lit(1)).alias("n"))
     return pairs.join(sizes, [VARIANT, "job"]).select(
-        VARIANT, "job", F.col(unit).alias("donor"), (F.lit(1.0) / F.col("n")).alias("weight")
+        VARIANT, "job", "donor", (F.lit(1.0) / F.col("n")).alias("weight")
     )
 
 

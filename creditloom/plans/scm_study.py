@@ -117,7 +117,7 @@ def placebo_study(
     x = materialise(synthetic.predictors(rows, spec))
     y = materialise(synthetic.outcomes(rows, spec))
     units = synthetic.complete_units(x, y)
-    packed = synthetic.pack_units(x, y)
+    packed = synthetic.pack_units(x, y, units)
     fitted = materialise(
         synthetic.fit(synthetic.placebo_jobs(units), packed, nested=nested, tasks=tasks)
     )
@@ -150,8 +150,8 @@ def leave_one_out(
 ) -> DataFrame:
     """Paths and gaps of the treated unit with each of its donors left out in turn."""
     x, y = synthetic.predictors(rows, spec), synthetic.outcomes(rows, spec)
-    packed = synthetic.pack_units(x, y)
     units = synthetic.complete_units(x, y)
+    packed = synthetic.pack_units(x, y, units)
     jobs = synthetic.leave_one_out_jobs(units, weights, treated)
     fitted = synthetic.fit(jobs, packed, nested=nested, tasks=tasks)
     return synthetic.paths(y, synthetic.donor_weights(fitted))

@@ -21,7 +21,8 @@ def test_weights_satisfy_the_optimality_conditions(donors, predictors):
     for noise in (0.0, 0.5):
         x0 = rng.normal(size=(predictors, donors))
         x1 = x0 @ rng.dirichlet(np.full(donors, 0.2)) + noise * rng.normal(size=predictors)
-        w = simplex.weights_for(np.full(predictors, 1 / predictors), x1, x0)
+        w, settled = simplex.weights_for(np.full(predictors, 1 / predictors), x1, x0)
+        assert settled
         assert w.min() >= 0 and w.sum() == pytest.approx(1)
         gradient = x0.T @ (x0 @ w - x1) / predictors
         assert gradient @ w - gradient.min() < 1e-7
@@ -184,6 +185,65 @@ def test_nested_fit_is_no_worse_than_equal_importance(spark):
     assert loss[1] <= loss[0] + 1e-12
 
 
+def error_of_random_units(seed, predictors=9, donors=12, periods=14):
+    rng = np.random.default_rng(seed)
+    x0, y0 = rng.normal(size=(predictors, donors)), rng.normal(size=(periods, donors))
+    w = rng.dirichlet(np.full(donors, 0.3))
+    x1, y1 = x0 @ w + 0.3 * rng.normal(size=predictors), y0 @ w + 0.3 * rng.normal(size=periods)
+    return simplex.OutcomeError(x1, x0, y1, y0), simplex.shares(rng.random(predictors) + 0.1)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_slope_of_the_outcome_error_equals_differences(seed):
+    error, v = error_of_random_units(seed)
+    loss, slope = error.with_slope(v)
+    steps = [(error.at(v + 1e-6 * d) - error.at(v - 1e-6 * d)) / 2e-6 for d in np.eye(len(v))]
+    assert loss == pytest.approx(error.at(v)) and slope == pytest.approx(np.array(steps), abs=1e-6)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_searches_lower_the_error_and_tell_whether_they_ended(seed):
+    error, v = error_of_random_units(seed)
+    for method in (simplex.downhill_simplex, simplex.quasi_newton):
+        found, _ = method(error, v, 60)
+        assert found.min() >= 0 and found.sum() == pytest.approx(1) and error.at(found) <= error.at(v)
+        assert method(error, v, 1)[1] is False
+    best, converged = simplex.best_importance(error, [v], 200)
+    assert converged and error.at(best) <= min(error.at(m(error, v, 200)[0]) for m in (simplex.downhill_simplex, simplex.quasi_newton))
+
+
+def test_a_search_that_breaks_down_is_left_out(monkeypatch):
+    def broken(*_):
+        raise np.linalg.LinAlgError
+
+    error, v = error_of_random_units(1)
+    monkeypatch.setattr(simplex, "downhill_simplex", broken)
+    found, converged = simplex.best_importance(error, [v], 200)
+    assert converged and error.at(found) < error.at(v)
+    monkeypatch.setattr(simplex, "quasi_newton", broken)
+    found, converged = simplex.best_importance(error, [v], 200)
+    assert not converged and (found == v).all()
+
+
+def test_rows_into_the_fit_are_jobs_and_units_per_part(spark):
+    rows = planted(spark, units=20)
+    x, y = synthetic.predictors(rows, SPEC), synthetic.outcomes(rows, SPEC)
+    units = synthetic.complete_units(x, y)
+    jobs = synthetic.placebo_jobs(units)
+    assert jobs.count() == 20 and set(jobs.columns) == {VARIANT, "job", "treated", "dropped"}
+    packed = synthetic.pack_units(x, y, units)
+    by_parts = [
+        sorted((r.job, r.donor, round(r.weight, 9)) for r in synthetic.donor_weights(synthetic.fit(jobs, packed, tasks=n)).collect())
+        for n in (1, 3)
+    ]
+    assert by_parts[0] == by_parts[1] and len(by_parts[0]) == 20 * 19
+    missing = synthetic.fit(synthetic.treated_job(units, 99), packed, tasks=2).collect()
+    assert [(r.kind, r.job, r.converged) for r in missing] == [("failed", "99", None)]
+    assert synthetic.fit(jobs.limit(0), packed, tasks=2).collect() == []
+    nothing = synthetic.fit(jobs, packed.limit(0), tasks=2).collect()
+    assert {(r.kind, r.job) for r in nothing} == {("failed", str(u)) for u in range(1, 21)}
+
+
 def test_sensitivity_moves_the_p_value(spark):
     stats = spark.createDataFrame([("v", i, float(i)) for i in range(1, 11)], "variant string, unit_id int, ts double")
     p = lambda phi: synthetic.placebo_pvalue(stats, 9, phi, (c("unit_id") > 8).cast("int")).first().pvalue

@@ -265,12 +265,12 @@ for _family in synthetic.FAMILIES:
     _conf(_family)
 
 
-def fixture_fits(inp, spec=SPEC, treated=None):
+def fixture_fits(inp, spec=SPEC, treated=None, nested=False):
     """Fits of all units, or of the treated one alone."""
     x, y = synthetic.predictors(panel(inp), spec), synthetic.outcomes(panel(inp), spec)
     complete = synthetic.complete_units(x, y)
     jobs = synthetic.placebo_jobs(complete) if treated is None else synthetic.treated_job(complete, treated)
-    return synthetic.fit(jobs, synthetic.pack_units(x, y))
+    return synthetic.fit(jobs, synthetic.pack_units(x, y, complete), nested=nested)
 
 
 @query("scm_weights")
@@ -339,10 +339,8 @@ def scm_backdated(inp):
 
 @query("scm_nested_fit")
 def scm_nested_fit(inp):
-    """The treated unit only: searching the predictor weights is the costly form."""
-    rows = panel(inp)
-    packed = synthetic.pack_units(synthetic.predictors(rows, SPEC), synthetic.outcomes(rows, SPEC))
-    return synthetic.fit(synthetic.treated_job(units(inp), TREATED), packed, nested=True)
+    """All units, with the predictor weights searched for: the costly form."""
+    return fixture_fits(inp, nested=True)
 
 
 # The fixture's calendar; outcomes and series are those of the published studies.
@@ -351,12 +349,7 @@ BUREAU_WINDOW = dict(
     window=(D(2015, 2, 1), D(2017, 6, 1)),
     t0=D(2016, 5, 1),
 )
-BUREAU_SPEC = ScmSpec(
-    outcome="ml_ins_arr_rt",
-    level="ln_ml_bal_ins",
-    series=("nearprime_rt", "subprime_rt", "ml_ins_arr_rt"),
-    **BUREAU_WINDOW,
-)
+BUREAU_SPEC = replace(scm_study.ARREARS, **BUREAU_WINDOW)
 
 
 def bureau_rates(inp, over_active=False):
