@@ -1,5 +1,8 @@
 import random
+import time
 
+import numpy as np
+import pytest
 from creditloom.llm import tiling
 
 
@@ -21,16 +24,38 @@ def brute_tiles(item, doc, run):
         total += n
 
 
-def test_tiles_match_the_plain_search():
+@pytest.mark.parametrize("pairs", [tiling.PAIRS, 7])
+def test_tiles_match_the_plain_search(monkeypatch, pairs):
+    monkeypatch.setattr(tiling, "PAIRS", pairs)
     rng = random.Random(1)
     for _ in range(60):
         item = [rng.randint(0, 6) for _ in range(rng.randint(5, 24))]
         doc = [rng.randint(0, 6) for _ in range(20)] + item[8:] + [9] + item[:8] + [rng.randint(0, 6) for _ in range(9)]
-        starts = list(range(len(doc) - 2))
-        found = tiling.tiles(item, doc, starts, 3)
+        starts = np.arange(len(doc) - 2)
+        found = tiling.tiles(np.array(item), np.array(doc), starts, 3)
         assert sum(n for _, _, n in found) == brute_tiles(item, doc, 3)
 
 
+@pytest.mark.parametrize("letters", [1, 2])
+def test_repeated_words_match_the_plain_search(monkeypatch, letters):
+    monkeypatch.setattr(tiling, "PAIRS", 50)
+    rng = random.Random(letters)
+    for _ in range(20):
+        item = [rng.randint(1, letters) for _ in range(rng.randint(3, 9))]
+        doc = [rng.randint(0, letters) for _ in range(90)]
+        found = tiling.tiles(np.array(item), np.array(doc), np.arange(len(doc) - 2), 3)
+        assert sum(n for _, _, n in found) == brute_tiles(item, doc, 3)
+        spots = [p for _, d, n in found for p in range(d, d + n)]
+        assert len(spots) == len(set(spots)) and all(item[i : i + n] == doc[d : d + n] for i, d, n in found)
+
+
+def test_one_word_repeated_in_item_and_document():
+    item, doc = np.zeros(60, dtype=np.int64), np.zeros(1_000_000, dtype=np.int64)
+    began = time.process_time()
+    assert tiling.tiles(item, doc, np.arange(len(doc) - 4), 5) == [(0, 0, 60)]
+    assert time.process_time() - began < 15
+
+
 def test_moved_altered_and_clean_documents(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
