@@ -107,8 +107,9 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SIZE, key: str = "doc
     ids) are written to the shared folder; the driver sees the histogram of lengths, at most ``size`` rows.
     """
     made = cut_lineage(pieces(docs, tokenizer_path, size, key, text))
-    per_part = cut_lineage(made.groupBy("length", "part").agg(F.count("*").alias("n")))
-    histogram = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    # Two columns are read twice: cheaper than a file per shuffle partition.
+    histogram = {r["length"]: r["n"] for r in made.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    per_part = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     table = slots(plan(histogram, size))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ranks_before"))

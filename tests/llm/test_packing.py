@@ -6,7 +6,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from creditloom.llm import packing
+from creditloom.llm import packing, unit_tokens
+from creditloom.session import cut_lineage
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -72,6 +73,23 @@ def test_pack_of_an_empty_table(spark, odd_docs):
     assert packing.pack(odd_docs.limit(0), PATH).collect() == []
 
 
+def test_empty_texts_are_not_gathered_without_end():
+    batches = (([i] * 256, [""] * 256) for i in range(1000))
+    sizes = [len(ids) for ids, _ in unit_tokens.encoded(batches, PATH, False)]
+    assert sum(sizes) == 256_000 and max(sizes) <= 100_000
+
+
+def test_a_worker_holds_few_bytes_of_units_and_counts_write_no_file(spark, monkeypatch):
+    encode, written = unit_tokens.UnitEncoder(PATH, False), []
+    letters, rng = "abcdefghijklmnopqrstuvwxyzéßñ", random.Random(9)
+    for _ in range(4):
+        encode.encode([" ".join("".join(rng.choices(letters, k=9)) for _ in range(200_000))])
+        assert unit_tokens._bytes(encode.units, encode.flat, encode.size) <= 25 << 20
+    monkeypatch.setattr(packing, "cut_lineage", lambda df: written.append(df.columns) or cut_lineage(df))
+    packing.pack(spark.createDataFrame([(1, "a b"), (2, "c")], "doc_id long, text string"), PATH)
+    assert len(written) == 1
+
+
 def test_pack_is_near_the_lower_bound(spark):
     from creditloom.llm.queries import QUERIES
 
