@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from creditloom.llm import huffman
+from creditloom.llm import huffman, unit_tokens
 from creditloom.session import scratch_path
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -87,3 +87,22 @@ def test_empty_table_and_missing_id(spark):
     path = scratch_path(spark, "coded")
     huffman.write(docs.limit(0), path, PATH, 2)
     assert huffman.read(spark, path).collect() == []
+
+
+def test_words_of_letters_go_by_the_model_with_the_ids_of_the_whole_tokenizer():
+    rng = random.Random(12)
+    kinds = ["abcdefghijklmnopqrstuvwxyz", "abcXYZ", "aéßñÿÀÖØÞçü", "ab'st", "a1b2", "áe\u0301ªµ×÷", "日本a", "ĀĠaŁ", "İıſK", "a-.,!$"]
+    texts = [" ".join("".join(rng.choices(rng.choice(kinds), k=rng.randint(1, 12))) for _ in range(400)) for _ in range(60)]
+    for name, spaces_matter in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = public_tokenizers.path(name)
+        whole, encode, seen = Tokenizer.from_file(path), unit_tokens.UnitEncoder(path, spaces_matter), []
+
+        class Counted:
+            def encode_batch_fast(self, units, **kinds):
+                seen.extend(units)
+                return whole.encode_batch_fast(units, **kinds)
+
+        encode.tokenizer = Counted()
+        for text, coded in zip(texts, encode.encode(texts)):
+            assert np.frombuffer(coded, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+        assert seen and not any(unit.strip().isascii() and unit.strip().isalpha() and unit.islower() for unit in seen)
